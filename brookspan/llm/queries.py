@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "mixing", "packing", "sstable"]
+MODULES = ["exact_dedup", "language", "mixing", "packing", "sstable", "toxicity"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
