@@ -2,15 +2,15 @@
 
 1. A text's set: its distinct shingles of `words` words as 64-bit hashes.  Texts
    with equal sets form a class; only its smallest identifier goes on.
-2. `PERMUTATIONS` linear permutations give two values each, the minimum and the
-   maximum, which agree between two sets with probability J and nearly
-   independently, so half the hash evaluations give the usual signature with
-   less variance.  A band joins both values of `BAND` permutations; two sets of
-   J = 0.85 share none of the 16 bands with probability 7e-6.  One byte of each
-   value is kept as a sketch.
+2. Linear permutations give two values each, the minimum and the maximum, which
+   agree between two sets with probability J and nearly independently, so half
+   the hash evaluations give the usual signature with less variance.  A band
+   joins both values of `BAND` permutations.  There are as many bands as make
+   it less likely than `MISSED` that two sets at the threshold share none (16
+   for J = 0.85, 22 for 0.8).  One byte of each value is kept as a sketch.
 3. Buckets are worked through in parts of at most `CHUNK` members.  A pair is a
-   candidate if its sketches agree in `AGREE` of 64 places (missed at J = 0.85
-   with probability 2e-5) and its set sizes allow a link.  First each member is
+   candidate if its sketches agree in as many places as a pair at the threshold
+   does but with a probability of about `MISSED`, and its sizes allow a link.  First each member is
    paired with its first candidate only; the confirmed links give components.
    Then every candidate pair between different components is confirmed, parts
    of buckets that hold a single component never being compared with
@@ -28,6 +28,8 @@ not kept.  An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,8 +38,11 @@ from pyspark.sql import functions as F
 
 from brookspan.llm.common import mapped, ship, slices, stored, text_or_empty
 
-PERMUTATIONS, BAND = 32, 2
-AGREE = 42
+BAND = 2
+#: Probability with which a pair at the threshold may share no band; and the quantile of about that of the normal distribution.
+MISSED, QUANTILE = 1e-5, 4.3
+#: Permutations there can be; as many are used as the threshold needs.
+MOST = 512
 CHUNK = 1024
 #: Partners of one text that a task streams.
 PARTNERS = 256
@@ -46,11 +51,23 @@ MEMO = 1_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _random = np.random.default_rng(9)
-_A = _random.integers(1 << 62, 1 << 64, PERMUTATIONS, dtype=np.uint64, endpoint=False) | np.uint64(1)
-_B = _random.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64, endpoint=False)
+_A = _random.integers(1 << 62, 1 << 64, MOST, dtype=np.uint64, endpoint=False) | np.uint64(1)
+_B = _random.integers(0, 1 << 64, MOST, dtype=np.uint64, endpoint=False)
 _words: dict[bytes, int] = {}
 
 
+def bands_for(percent: int) -> int:
+    """How many bands two sets at the threshold need."""
+    shared = (percent / 100) ** (2 * BAND)
+    return min(MOST // BAND, max(1, math.ceil(math.log(MISSED) / math.log1p(-shared)))) if percent < 100 else 1
+
+
+def agreeing_for(percent: int) -> int:
+    """In how many places of their sketches two sets at the threshold agree at least."""
+    n, j = 2 * BAND * bands_for(percent), percent / 100
+    return max(1, math.floor(n * j - QUANTILE * math.sqrt(n * j * (1 - j))))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -75,20 +92,21 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def signature(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signature(values: np.ndarray, permutations: int) -> tuple[np.ndarray, np.ndarray]:
     """Minimum and maximum of the set under each permutation."""
-    low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(PERMUTATIONS, np.uint64)
+    low = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(permutations, np.uint64)
     for at in range(0, len(values), 4096):
-        seen = values[at : at + 4096] * _A[:, None] + _B[:, None]
+        seen = values[at : at + 4096] * _A[:permutations, None] + _B[:permutations, None]
         low = np.minimum(low, seen.min(axis=1))
         high = np.maximum(high, seen.max(axis=1))
     return low, high
 
 
-def features(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def features(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, set_hash, bands and sketch of every row."""
-    bands = PERMUTATIONS // BAND
+    bands = bands_for(percent)
+    permutations = bands * BAND
     salts = np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -98,12 +116,12 @@ def features(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             sizes.append(len(values))
             sets.append(xxhash.xxh3_128_digest(values.tobytes()))
             if len(values):
-                low, high = signature(values)
+                low, high = signature(values, permutations)
                 both = _mixed(np.concatenate([low, high]))
                 mixed = salts.copy()
                 for k in range(BAND):
-                    mixed = _mixed(mixed + both[:PERMUTATIONS].reshape(bands, BAND)[:, k])
-                    mixed = _mixed(mixed + both[PERMUTATIONS:].reshape(bands, BAND)[:, k])
+                    mixed = _mixed(mixed + both[:permutations].reshape(bands, BAND)[:, k])
+                    mixed = _mixed(mixed + both[permutations:].reshape(bands, BAND)[:, k])
                 keys.append(mixed.view(np.int64))
                 sketches.append((both & np.uint64(255)).astype(np.uint8).tobytes())
             else:
@@ -141,10 +159,10 @@ def _runs(batches, keys: int):
 
 def _agreeing(sketches: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of rows are candidates."""
-    out = np.zeros((len(sketches), len(others)), bool)
+    out, least = np.zeros((len(sketches), len(others)), bool), agreeing_for(percent)
     for i in range(len(sketches)):
         small, large = np.minimum(sizes[i], other_sizes), np.maximum(sizes[i], other_sizes)
-        out[i] = ((sketches[i] == others).sum(axis=1) >= AGREE) & (100 * small >= percent * large)
+        out[i] = ((sketches[i] == others).sum(axis=1) >= least) & (100 * small >= percent * large)
     return out
 
 
@@ -252,7 +270,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.  Links: Jaccard similarity of `percent` or more."""
     ship(docs.sparkSession)
-    rows = stored(features(docs, words, id_col, text_col), "near-features")
+    rows = stored(features(docs, words, percent, id_col, text_col), "near-features")
     classes = stored(
         rows.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_hash")

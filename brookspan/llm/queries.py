@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "language", "mixing", "near_dedup", "packing", "sstable", "toxicity"]
+MODULES = ["exact_dedup", "language", "mixing", "mtree", "near_dedup", "packing", "sstable", "toxicity"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

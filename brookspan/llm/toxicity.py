@@ -218,11 +218,8 @@ def in_vocabulary(text: str, places: dict[str, int], memo: dict) -> dict[int, in
     return out
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, learning: Column, per_class: int = 2500, terms: int = 512, neighbours: int = 15,
-    threshold: float = 0.3, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-) -> DataFrame:
-    """doc_id, score, predicted, evidence.  learning: a condition on doc_id, which labels may be learned from."""
+def fitted(docs: DataFrame, labels: DataFrame, learning: Column, per_class: int, terms: int, neighbours: int, seed: int, id_col: str, text_col: str, label_col: str):
+    """The broadcast model learned from the labels that `learning`, a condition on doc_id, allows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -230,7 +227,15 @@ def score_toxicity(
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    model = docs.sparkSession.sparkContext.broadcast(learn(rows, known, per_class, terms, neighbours, seed))
+    return docs.sparkSession.sparkContext.broadcast(learn(rows, known, per_class, terms, neighbours, seed))
+
+
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, learning: Column, per_class: int = 2500, terms: int = 512, neighbours: int = 15,
+    threshold: float = 0.3, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> DataFrame:
+    """doc_id, score, predicted, evidence.  learning: a condition on doc_id, which labels may be learned from."""
+    model = fitted(docs, labels, learning, per_class, terms, neighbours, seed, id_col, text_col, label_col)
 
     def score(batches):
         memo: dict = {}
@@ -239,5 +244,24 @@ def score_toxicity(
             columns = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "score", "evidence"])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     scored = rows.mapInArrow(score, "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, learning: Column, per_class: int = 2500, terms: int = 512, neighbours: int = 15,
+    threshold: float = 0.3, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> DataFrame:
+    """The rows of `docs` that score below the threshold, with their own columns; no row is moved for it."""
+    model = fitted(docs, labels, learning, per_class, terms, neighbours, seed, id_col, text_col, label_col)
+    place = docs.columns.index(text_col)
+
+    def keep(batches):
+        memo: dict = {}
+        for batch in slices(batches):
+            texts = (text or "" for text in batch.column(place).to_pylist())
+            clean = [model.value.score(in_vocabulary(text, model.value.places, memo))[0] < threshold for text in texts]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
