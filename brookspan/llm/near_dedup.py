@@ -82,8 +82,9 @@ def shingles(text: str, words: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_words) > MEMO:
         _words.clear()
-    for word in set(found) - _words.keys():
-        _words[word] = xxhash.xxh64_intdigest(word)
+    for word in set(found):
+        if word not in _words:
+            _words[word] = xxhash.xxh64_intdigest(word)
     codes = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
     width = min(words, len(codes))
     out = np.full(len(codes) - width + 1, width, np.uint64)
