@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "language", "mixing", "mtree", "near_dedup", "packing", "repeats", "sstable", "toxicity"]
+MODULES = ["exact_dedup", "html_text", "language", "mixing", "mtree", "near_dedup", "packing", "repeats", "sstable", "toxicity"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
