@@ -18,6 +18,7 @@ identifier are not learned from; rows with a null identifier are predicted with
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -69,12 +70,14 @@ class Centroids:
 
 
 def fit(vectors: np.ndarray, labels: list[str], clusters: int, seed: int) -> Centroids:
-    """Spherical k-means inside each language; vectors: trigram counts, one row a text."""
+    """Spherical k-means inside each language; vectors: trigram counts, one row a text, overwritten."""
     languages = sorted(set(labels))
-    frequency = (vectors > 0).sum(axis=0)
+    frequency = np.count_nonzero(vectors, axis=0)
     idf = (np.log((1 + len(vectors)) / (1 + frequency)) + 0.05).astype(np.float32)
-    rows = vectors.astype(np.float32) * idf
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    rows = vectors  # scaled in place: the sample is held once
+    rows *= idf
+    for row in rows:
+        row /= max(float(np.linalg.norm(row)), 1e-9)
     centres, owners, reach = [], [], []
     random = np.random.default_rng(seed)
     of = np.array([languages.index(x) for x in labels])
@@ -115,16 +118,18 @@ def learn(docs: DataFrame, per_language: int, clusters: int, seed: int) -> Centr
     found = mapped(rows, count, "lang string, places array<int>, counts array<int>").toArrow()
     if not found.num_rows:
         return Centroids(np.zeros(0), np.zeros((0, 0)), np.zeros(0), [], np.zeros(0))
-    vectors = np.zeros((found.num_rows, BUCKETS), np.float32)
-    for i, (places, counts) in enumerate(zip(found.column("places"), found.column("counts"), strict=True)):
-        vectors[i, places.values.to_numpy()] = counts.values.to_numpy()
     labels = found.column("lang").to_pylist()
-    stable = sorted(range(len(labels)), key=lambda i: (labels[i], vectors[i].tobytes()))
-    return fit(vectors[stable], [labels[i] for i in stable], clusters, seed)
+    places, counts = found.column("places"), found.column("counts")
+    marks = [hashlib.md5(p.values.to_numpy().tobytes() + c.values.to_numpy().tobytes()).digest() for p, c in zip(places, counts, strict=True)]
+    stable = sorted(range(len(labels)), key=lambda i: (labels[i], marks[i]))  # whatever order the rows came in
+    vectors = np.zeros((found.num_rows, BUCKETS), np.float32)
+    for row, i in enumerate(stable):
+        vectors[row, places[i].values.to_numpy()] = counts[i].values.to_numpy()
+    return fit(vectors, [labels[i] for i in stable], clusters, seed)
 
 
 def identify(
-    docs: DataFrame, learning, per_language: int = 400, clusters: int = 4, seed: int = 6,
+    docs: DataFrame, learning, per_language: int = 250, clusters: int = 4, seed: int = 6,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """doc_id, lang_pred, score, rejected.  learning: a condition on the identifier column, which rows may be learned from."""
