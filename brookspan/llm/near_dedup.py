@@ -196,22 +196,31 @@ def first_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """members: key, left, right, side, rep, n_shingles, sketch, component.  Candidates of different components."""
+    """members: key, left, right, side, rep, n_shingles, sketch, component, bands.
+
+    Candidates of different components.  A pair comes from the first band that it shares and from no other.
+    """
 
     def pair(batches):
-        for (_, left, right), run in _runs(batches, 3):
+        for (key, left, right), run in _runs(batches, 3):
             side, rep, sizes, sketches, component = _columns(run, "side", "rep", "n_shingles", "sketch", "component")
+            bands = run.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            own = int(np.flatnonzero(bands[0] == key)[0])
             one = np.flatnonzero(side == 0)
             two = one if left == right else np.flatnonzero(side == 1)
             fits = _agreeing(sketches[one], sketches[two], sizes[one], sizes[two], percent)
             x, y = np.nonzero(fits & (component[one][:, None] != component[two][None, :]))
-            x, y = rep[one[x]], rep[two[y]]
-            a, b = np.minimum(x, y), np.maximum(x, y)
-            if len(a):
+            x, y = one[x], two[y]
+            for at in range(0, len(x), 8192):
+                some, others = x[at : at + 8192], y[at : at + 8192]
+                here = (bands[some] == bands[others]).argmax(axis=1) == own
+                if left == right:
+                    here &= rep[some] < rep[others]
+                a, b = np.minimum(rep[some[here]], rep[others[here]]), np.maximum(rep[some[here]], rep[others[here]])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = members.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return dealt.mapInArrow(pair, "a long, b long").distinct()
+    return dealt.mapInArrow(pair, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -221,7 +230,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
     partners = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.col("b").alias("doc_id"), F.lit(1).alias("place"))
     heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"), F.lit(0).alias("place"))
-    texts = docs.join(partners.unionByName(heads), "doc_id").select("a", "part", "place", "doc_id", "text")
+    # a sort-merge join at every size: which texts are asked for grows with the documents
+    texts = docs.hint("merge").join(partners.unionByName(heads), "doc_id").select("a", "part", "place", "doc_id", "text")
 
     def compare(batches):
         head, known = np.zeros(0, np.uint64), None
@@ -313,8 +323,8 @@ def near_duplicates(
     code = lambda c: F.concat_ws(":", f"{c}.c", f"{c}.p").alias(c)
     crossing = (
         placed.join(sides, ["key", "chunk"])
-        .join(sketches, "rep")
-        .select("key", code("left"), code("right"), "side", "rep", "n_shingles", "sketch", "component")
+        .join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep")
+        .select("key", code("left"), code("right"), "side", "rep", "n_shingles", "sketch", "component", "bands")
     )
     open_ = crossing_pairs(crossing, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     again = confirmed(open_, texts, words, percent).where("linked").select("a", "b")
