@@ -33,8 +33,10 @@ def _zoned(time: Column, zone: str | None) -> Column:
 
 def _named(df: DataFrame, window: Column, zone: str | None) -> DataFrame:
     back = (lambda c: c) if zone in (None, "UTC") else (lambda c: F.to_utc_timestamp(c, zone))
-    rows = df.withColumn("_window", window)
-    return rows.select(*df.columns, back(F.col("_window.start")).alias("window_start"), back(F.col("_window.end")).alias("window_end"))
+    rows = df.withColumn("window", window)
+    bounds = back(F.col("window.start")).alias("window_start"), back(F.col("window.end")).alias("window_end")
+    # in a stream only the window itself carries the watermark, so it stays for the aggregation
+    return rows.select(*df.columns, *bounds, *(["window"] if df.isStreaming else []))
 
 
 def tumble(df: DataFrame, time: str, size: str, offset: str = "0 seconds", zone: str | None = None) -> DataFrame:
@@ -109,6 +111,10 @@ def cumulate_agg(df: DataFrame, keys: list[str], time: str, size: str, step: str
 
 def window_agg(df: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates of rows that have window_start and window_end."""
+    if df.isStreaming and "window" in df.columns:
+        bounds = [F.first(c).alias(c) for c in ("window_start", "window_end")]
+        found = df.groupBy(*keys, "window").agg(*bounds, *(e.alias(n) for n, e in aggregates.items()))
+        return found.drop("window")
     return df.groupBy(*keys, "window_start", "window_end").agg(*(e.alias(n) for n, e in aggregates.items()))
 
 

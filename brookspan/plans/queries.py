@@ -72,23 +72,26 @@ def expand_projections(lineitem):
     return calc.expand(rows, [{"l_orderkey": F.col("l_orderkey"), "side": F.lit(i), "k": F.col(c)} for i, c in enumerate(("l_partkey", "l_suppkey"))])
 
 
-_SUMS = {"n": B.count(), "price": F.sum(cents("l_extendedprice"))}
+def _sums():
+    return {"n": B.count(), "price": F.sum(cents("l_extendedprice"))}
+
+
 _SUMS_SQL = "count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS price"
 
 
 @query("lineitem", sql=f"SELECT l_returnflag, l_linestatus, l_linenumber, {_SUMS_SQL} FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
 def expand_grouping_sets(lineitem):
-    return calc.grouping_sets(lineitem, [["l_returnflag", "l_linestatus"], ["l_linenumber"], []], _SUMS)
+    return calc.grouping_sets(lineitem, [["l_returnflag", "l_linestatus"], ["l_linenumber"], []], _sums())
 
 
 @query("lineitem", sql=f"SELECT l_returnflag, l_linestatus, {_SUMS_SQL} FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def expand_cube(lineitem):
-    return calc.cube(lineitem, ["l_returnflag", "l_linestatus"], _SUMS)
+    return calc.cube(lineitem, ["l_returnflag", "l_linestatus"], _sums())
 
 
 @query("lineitem", sql=f"SELECT l_returnflag, l_linestatus, {_SUMS_SQL} FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def expand_rollup(lineitem):
-    return calc.rollup(lineitem, ["l_returnflag", "l_linestatus"], _SUMS)
+    return calc.rollup(lineitem, ["l_returnflag", "l_linestatus"], _sums())
 
 
 @query("events", sql="SELECT event_id, user_id * 2 AS twice FROM events")
@@ -193,19 +196,16 @@ def agg_count_distinct(lineitem):
     return aggregation.group_agg(lineitem, ["l_returnflag"], {"suppliers": B.count_distinct("l_suppkey"), "parts": B.count_distinct("l_partkey", where=F.col("l_quantity") > 25)})
 
 
-_CHANGELOG = F.when(F.col("event_id") % 5 == 4, "-D").otherwise("+I")
-
-
 def _changelog(events):
     """Every fifth event takes back the one before it."""
     back = F.when(F.col("event_id") % 5 == 4, F.col("event_id") - 1).otherwise(F.col("event_id"))
-    user, value = (F.lag(c).over(_by_id) for c in ("user_id", "v"))
+    by_id = Window.partitionBy(F.floor(F.col("event_id") / 5)).orderBy("event_id")
+    user, value = (F.lag(c).over(by_id) for c in ("user_id", "v"))
     rows = events.withColumn("v", cents("value"))
     taken = F.col("event_id") % 5 == 4
-    return rows.select(F.when(taken, user).otherwise(F.col("user_id")).alias("user_id"), F.when(taken, value).otherwise(F.col("v")).alias("v"), back.alias("id"), _CHANGELOG.alias("row_kind"))
+    return rows.select(F.when(taken, user).otherwise(F.col("user_id")).alias("user_id"), F.when(taken, value).otherwise(F.col("v")).alias("v"), back.alias("id"), F.when(taken, "-D").otherwise("+I").alias("row_kind"))
 
 
-_by_id = Window.partitionBy(F.floor(F.col("event_id") / 5)).orderBy("event_id")
 _LEFT_SQL = "(SELECT user_id, event_id AS id, CAST(round(value * 100) AS BIGINT) AS v FROM events WHERE event_id % 5 < 3 OR event_id % 5 = 3 AND event_id = (SELECT max(event_id) FROM events))"
 
 
@@ -250,8 +250,14 @@ def reduce_user_function(events):
 
 _EVENTS = "(SELECT *, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
 _AGGS_SQL = "count(*) AS n, CAST(sum(v) AS BIGINT) AS s, min(v) AS low, max(v) AS high, CAST(sum(v) // count(v) AS BIGINT) AS mean"
-_AGGS = {"n": B.count(), "s": B.sum_("v"), "low": B.min_("v"), "high": B.max_("v"), "mean": B.avg("v")}
-_PARTS = {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "low": ("min", F.col("v")), "high": ("max", F.col("v")), "mean": ("avg", F.col("v"))}
+
+
+def _aggs():
+    return {"n": B.count(), "s": B.sum_("v"), "low": B.min_("v"), "high": B.max_("v"), "mean": B.avg("v")}
+
+
+def _parts():
+    return {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "low": ("min", F.col("v")), "high": ("max", F.col("v")), "mean": ("avg", F.col("v"))}
 
 
 def _valued(events):
@@ -260,20 +266,20 @@ def _valued(events):
 
 @query("events", sql=f"SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, {_AGGS_SQL} FROM {_EVENTS} GROUP BY 1, 2")
 def win_tumble(events):
-    return windows.window_agg(windows.tumble(_valued(events), "ts", "1 hour"), ["user_id"], _AGGS)
+    return windows.window_agg(windows.tumble(_valued(events), "ts", "1 hour"), ["user_id"], _aggs())
 
 
 @query("events", sql=f"""SELECT event_type, b AS window_start, b + INTERVAL '1 day' AS window_end, {_AGGS_SQL}
   FROM (SELECT *, time_bucket(INTERVAL '1 day', ts - INTERVAL '3 hours') + INTERVAL '3 hours' AS b FROM {_EVENTS}) GROUP BY event_type, b""")
 def win_tumble_offset(events):
-    return windows.window_agg(windows.tumble(_valued(events), "ts", "1 day", "3 hours"), ["event_type"], _AGGS)
+    return windows.window_agg(windows.tumble(_valued(events), "ts", "1 day", "3 hours"), ["event_type"], _aggs())
 
 
 @query("events", sql=f"""SELECT event_type, b AS window_start, b + INTERVAL '1 day' AS window_end, {_AGGS_SQL}
   FROM (SELECT *, time_bucket(INTERVAL '1 day', ts - INTERVAL '5 hours') + INTERVAL '5 hours' AS b FROM {_EVENTS}) GROUP BY event_type, b""")
 def win_tumble_zone(events):
     """Days of a place five hours behind UTC."""
-    return windows.window_agg(windows.tumble(_valued(events), "ts", "1 day", zone="-05:00"), ["event_type"], _AGGS).withColumns(
+    return windows.window_agg(windows.tumble(_valued(events), "ts", "1 day", zone="-05:00"), ["event_type"], _aggs()).withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
     )
 
@@ -284,12 +290,12 @@ _HOP_SQL = f"""SELECT user_id, w AS window_start, w + INTERVAL '1 hour' AS windo
 
 @query("events", sql=_HOP_SQL)
 def win_hop(events):
-    return windows.window_agg(windows.hop(_valued(events), "ts", "1 hour", "20 minutes"), ["user_id"], _AGGS)
+    return windows.window_agg(windows.hop(_valued(events), "ts", "1 hour", "20 minutes"), ["user_id"], _aggs())
 
 
 @query("events", sql=_HOP_SQL)
 def win_hop_shared_slices(events):
-    return windows.hop_agg(_valued(events), ["user_id"], "ts", "1 hour", "20 minutes", _PARTS)
+    return windows.hop_agg(_valued(events), ["user_id"], "ts", "1 hour", "20 minutes", _parts())
 
 
 _CUMULATE_SQL = f"""SELECT event_type, d AS window_start, e AS window_end, {_AGGS_SQL}
@@ -299,12 +305,12 @@ _CUMULATE_SQL = f"""SELECT event_type, d AS window_start, e AS window_end, {_AGG
 
 @query("events", sql=_CUMULATE_SQL)
 def win_cumulate(events):
-    return windows.cumulate_agg(_valued(events), ["event_type"], "ts", "1 day", "1 hour", _PARTS)
+    return windows.cumulate_agg(_valued(events), ["event_type"], "ts", "1 day", "1 hour", _parts())
 
 
 @query("events", sql=_CUMULATE_SQL)
 def win_cumulate_rows(events):
-    return windows.window_agg(windows.cumulate(_valued(events), "ts", "1 day", "1 hour"), ["event_type"], _AGGS)
+    return windows.window_agg(windows.cumulate(_valued(events), "ts", "1 day", "1 hour"), ["event_type"], _aggs())
 
 
 @query("events", sql=f"""SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL '30 minutes' AS window_end, {_AGGS_SQL}
@@ -312,7 +318,7 @@ def win_cumulate_rows(events):
         FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM {_EVENTS}))
   GROUP BY user_id, s_no""")
 def win_session(events):
-    return windows.session_agg(_valued(events), ["user_id"], "ts", "30 minutes", _AGGS)
+    return windows.session_agg(_valued(events), ["user_id"], "ts", "30 minutes", _aggs())
 
 
 @query("events", sql="SELECT time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' - INTERVAL '1 millisecond' AS rowtime, count(*) AS n FROM events GROUP BY 1")
