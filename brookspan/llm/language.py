@@ -95,7 +95,7 @@ def fit(vectors: np.ndarray, labels: list[str], clusters: int, seed: int) -> Cen
             far = 1 - cosines[nearest == c, c]
             centres.append(middle[c])
             owners.append(language)
-            reach.append(min(0.98, 1.1 * float(np.quantile(far, 0.99))) if len(far) else 0.98)
+            reach.append(min(0.98, 1.1 * float(np.quantile(far, 0.99)) + 0.02) if len(far) else 0.98)
     return Centroids(idf, np.stack(centres), np.array(owners), languages, np.array(reach))
 
 
