@@ -11,13 +11,14 @@
 3. Buckets are worked through in parts of at most `CHUNK` members.  A pair is a
    candidate if its sketches agree in as many places as a pair at the threshold
    does but with a probability of about `MISSED`, and its sizes allow a link.  First each member is
-   paired with its first candidate only; the confirmed links give components.
-   Then every candidate pair between different components is confirmed, parts
-   of buckets that hold a single component never being compared with
+   paired with its likeliest candidate only; the confirmed links give
+   components.  Then every candidate pair between different components is
+   compared, parts of buckets that hold a single component never being met with
    themselves.  So no pair that could join components is left out, and groups of
    copies cost one confirmation a member rather than one a pair.
-4. A pair is confirmed on the two texts' whole sets.  The texts are sent to
-   tasks that stream the partners of one text at a time.
+4. Links are confirmed on the two texts' whole sets.  In the first step the texts
+   are sent to tasks that stream the partners of one text at a time; in the
+   second the sets (48 bits of each hash) go with the members of the parts.
 5. Components come from alternating large-star and small-star steps on tables in
    the shared folder, none of which reaches the driver.
 
@@ -44,6 +45,8 @@ MISSED, QUANTILE = 1e-5, 4.3
 #: Permutations there can be; as many are used as the threshold needs.
 MOST = 512
 CHUNK = 1024
+#: Shingles that count as one member of a part.
+SHINGLES = 1500
 #: Partners of one text that a task streams.
 PARTNERS = 256
 #: Word hashes kept per worker.
@@ -158,12 +161,13 @@ def _runs(batches, keys: int):
         yield last, pa.Table.from_batches(held)
 
 
-def _agreeing(sketches: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows are candidates."""
-    out, least = np.zeros((len(sketches), len(others)), bool), agreeing_for(percent)
+def _agreement(sketches: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray, percent: int) -> np.ndarray:
+    """In how many places the sketches of pairs of rows agree; 0 for pairs that are no candidates."""
+    out, least = np.zeros((len(sketches), len(others)), np.int16), agreeing_for(percent)
     for i in range(len(sketches)):
         small, large = np.minimum(sizes[i], other_sizes), np.maximum(sizes[i], other_sizes)
-        out[i] = ((sketches[i] == others).sum(axis=1) >= least) & (100 * small >= percent * large)
+        agree = (sketches[i] == others).sum(axis=1)
+        out[i] = np.where((agree >= least) & (100 * small >= percent * large), agree, 0)
     return out
 
 
@@ -175,7 +179,7 @@ def _columns(run: pa.Table, *names: str) -> list[np.ndarray]:
 
 
 def first_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """members: key, part, rep, n_shingles, sketch.  Each member with its first candidate in its part of a bucket."""
+    """members: key, part, rep, n_shingles, sketch.  Each member with the likeliest candidate before it in its part of a bucket."""
 
     def pair(batches):
         for _, run in _runs(batches, 2):
@@ -184,9 +188,9 @@ def first_pairs(members: DataFrame, percent: int) -> DataFrame:
             rep, sizes, sketches = rep[order], sizes[order], sketches[order]
             a, b = [], []
             for i in range(1, len(rep)):
-                found = np.flatnonzero(_agreeing(sketches[i : i + 1], sketches[:i], sizes[i : i + 1], sizes[:i], percent)[0])
-                if len(found):
-                    a.append(rep[found[0]])
+                found = _agreement(sketches[i : i + 1], sketches[:i], sizes[i : i + 1], sizes[:i], percent)[0]
+                if found[best := int(found.argmax())]:
+                    a.append(rep[best])
                     b.append(rep[i])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -195,32 +199,80 @@ def first_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(pair, "a long, b long").distinct()
 
 
-def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """members: key, left, right, side, rep, n_shingles, sketch, component, bands.
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted hashes cut to their upper 48 bits."""
+    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
-    Candidates of different components.  A pair comes from the first band that it shares and from no other.
+
+def _unpacked(ids: bytes) -> np.ndarray:
+    out = np.zeros((len(ids) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(ids, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def crossing_links(members: DataFrame, percent: int) -> DataFrame:
+    """members: key, left, right, side, rep, n_shingles, sketch, component, bands, ids.
+
+    The links between components that the candidates of two parts of a bucket
+    confirm, a spanning forest of them.  A pair is looked at in the first band
+    that it shares, and compared on whole sets unless its components have been
+    joined here already, so nothing is made for the pairs that are no links.
     """
 
-    def pair(batches):
+    def link(batches):
         for (key, left, right), run in _runs(batches, 3):
             side, rep, sizes, sketches, component = _columns(run, "side", "rep", "n_shingles", "sketch", "component")
             bands = run.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            ids = run.column("ids")
             own = int(np.flatnonzero(bands[0] == key)[0])
             one = np.flatnonzero(side == 0)
             two = one if left == right else np.flatnonzero(side == 1)
-            fits = _agreeing(sketches[one], sketches[two], sizes[one], sizes[two], percent)
-            x, y = np.nonzero(fits & (component[one][:, None] != component[two][None, :]))
-            x, y = one[x], two[y]
+            agree = _agreement(sketches[one], sketches[two], sizes[one], sizes[two], percent)
+            agree[component[one][:, None] == component[two][None, :]] = 0
+            if left == right:
+                agree[rep[one][:, None] >= rep[two][None, :]] = 0
+            x, y = np.nonzero(agree)
+            order = np.argsort(-agree[x, y], kind="stable")
+            x, y = one[x[order]], two[y[order]]
+            del agree
+            joined: dict[int, int] = {}
+            sets: dict[int, np.ndarray] = {}
+
+            def root(c: int, joined=joined) -> int:
+                while c in joined:
+                    c = joined[c]
+                return c
+
+            a, b = [], []
             for at in range(0, len(x), 8192):
                 some, others = x[at : at + 8192], y[at : at + 8192]
                 here = (bands[some] == bands[others]).argmax(axis=1) == own
-                if left == right:
-                    here &= rep[some] < rep[others]
-                a, b = np.minimum(rep[some[here]], rep[others[here]]), np.maximum(rep[some[here]], rep[others[here]])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                for i, j in zip(some[here].tolist(), others[here].tolist(), strict=True):
+                    p, q = root(int(component[i])), root(int(component[j]))
+                    if p == q:
+                        continue
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = _unpacked(ids[k].as_py())
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                        joined[max(p, q)] = min(p, q)
+                        a.append(min(rep[i], rep[j]))
+                        b.append(max(rep[i], rep[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = members.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return dealt.mapInArrow(pair, "a long, b long")
+    return dealt.mapInArrow(link, "a long, b long")
+
+
+def shingle_ids(docs: DataFrame, words: int) -> DataFrame:
+    """docs: doc_id, text.  rep and ids, the packed set, of each row."""
+
+    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_packed(shingles(text, words)) for text in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "ids"])
+
+    return mapped(docs.select("doc_id", "text"), describe, "rep long, ids binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -288,7 +340,7 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch"))),
         "near-classes",
     )
-    narrow = classes.select("rep", F.explode("bands").alias("key"))
+    narrow = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = stored(narrow.join(shared, "key"), "near-buckets")
     sketches = classes.select("rep", "n_shingles", "sketch")
@@ -298,12 +350,14 @@ def near_duplicates(
 
     checked = confirmed(first_pairs(members, percent), texts, words, percent)
     found = components(checked.where("linked").select("a", "b"))
-    labelled = buckets.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+    labelled = buckets.select("key", "rep", "n_shingles").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")
     )
     mixed = labelled.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
     several = stored(labelled.join(mixed, "key"), "near-mixed")
-    sizes = several.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    # a part is filled by members, or by shingles where they have many
+    filled = F.greatest(F.lit(1), F.ceil(F.sum(F.greatest(F.lit(1), F.col("n_shingles") / SHINGLES)))).alias("n")
+    sizes = several.groupBy("key", "component").agg(filled)
     rest = sizes.where(F.col("n") < CHUNK // 2).groupBy("key").agg(F.sum("n").alias("rest"))
     plan = sizes.join(rest, "key", "left").select(
         "key", "component", F.when(F.col("n") >= CHUNK // 2, F.ceil(F.col("n") / CHUNK)).alias("own"),
@@ -321,13 +375,14 @@ def near_duplicates(
         pairs.where("left <> right").select("key", "left", "right", F.lit(1).alias("side"), F.col("right").alias("chunk"))
     )
     code = lambda c: F.concat_ws(":", f"{c}.c", f"{c}.p").alias(c)
+    asked = texts.hint("merge").join(several.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     crossing = (
         placed.join(sides, ["key", "chunk"])
         .join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep")
-        .select("key", code("left"), code("right"), "side", "rep", "n_shingles", "sketch", "component", "bands")
+        .join(shingle_ids(asked, words).dropDuplicates(["rep"]), "rep")
+        .select("key", code("left"), code("right"), "side", "rep", "n_shingles", "sketch", "component", "bands", "ids")
     )
-    open_ = crossing_pairs(crossing, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    again = confirmed(open_, texts, words, percent).where("linked").select("a", "b")
+    again = stored(crossing_links(crossing, percent), "near-crossing")
     if not again.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again))
     return (
