@@ -4,7 +4,8 @@ Terms are words (letters, lower case) and the first 4, 5 and 6 letters of
 longer words.  The vocabulary holds the `terms` terms whose document frequency
 in the learning sample, copies counted once, depends most on the label
 (chi-square, above `CHI_SQUARE`), and whose examples are toxic at least `LIFT`
-times as often, or as seldom, as the sample.
+times as often, or as seldom, as the sample.  Of these, terms that stronger ones
+explain are dropped (`telling`).
 The examples' TF-IDF vectors over it are stored in an inverted index in blocks
 of `BLOCK` examples with the largest weight of each term in each block.  A
 query visits the blocks by falling upper bound and stops when no block can hold
@@ -39,6 +40,8 @@ from brookspan.llm.common import mapped, ship, slices, text_or_empty
 BLOCK = 64
 #: What a term needs: dependence on the label, and how far the rate of toxic examples with it is from the sample's.
 CHI_SQUARE, LIFT = 30.0, 2.0
+#: What a term needs beside stronger ones, see `telling`.
+OWN_LEAST, OWN_SHARE = 3, 0.02
 #: Words kept with their terms per worker.
 MEMO = 500_000
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -199,12 +202,41 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int, terms: int, neighb
     rows = mapped(sample, vectors, "doc_id long, toxic int, places array<int>, counts array<int>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     weight = np.array([counts[r["toxic"]] / sizes[r["toxic"]] for r in rows])
+    found = [dict(zip(r["places"], r["counts"], strict=True)) for r in rows]
+    kept = telling(found, [r["toxic"] for r in rows], len(vocabulary))
+    new = {old: i for i, old in enumerate(kept)}
     return Neighbours(
-        vocabulary, np.array([r["doc_id"] for r in rows], np.int64), [dict(zip(r["places"], r["counts"], strict=True)) for r in rows],
+        [vocabulary[i] for i in kept], np.array([r["doc_id"] for r in rows], np.int64), [{new[p]: n for p, n in row.items() if p in new} for row in found],
         np.array([r["toxic"] for r in rows], float), weight, neighbours,
     )
 
 
+def telling(rows: list[dict[int, int]], labels: list[int], terms: int) -> list[int]:
+    """The terms that tell something of their own, strongest first.
+
+    A term whose examples are nearly those of a stronger term is another form of
+    it.  A term that is rare and came along with copies of one example has
+    toxic examples that stronger terms explain already: it stays only if
+    `OWN_SHARE` of its toxic examples, and `OWN_LEAST` of them, have fewer than
+    two stronger terms.
+    """
+    holders: list[set[int]] = [set() for _ in range(terms)]
+    for i, row in enumerate(rows):
+        for place in row:
+            holders[place].add(i)
+    covered, kept = np.zeros(len(rows), int), []
+    for term, own in enumerate(holders):
+        toxic = [i for i in own if labels[i]]
+        if any(len(own & holders[k]) > 0.9 * len(own | holders[k]) for k in kept):
+            continue
+        free = sum(covered[i] < 2 for i in toxic)
+        if len(toxic) * 2 > len(own) and (free < OWN_LEAST or free < OWN_SHARE * len(toxic)):
+            continue
+        kept.append(term)
+        covered[list(own)] += 1
+    return kept
+
+
 def in_vocabulary(text: str, places: dict[str, int], memo: dict) -> dict[int, int]:
     """Counts of the text's terms by their place; memo: words already looked up."""
     out: dict[int, int] = {}
