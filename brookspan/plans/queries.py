@@ -72,6 +72,12 @@ def expand_projections(lineitem):
     return calc.expand(rows, [{"l_orderkey": F.col("l_orderkey"), "side": F.lit(i), "k": F.col(c)} for i, c in enumerate(("l_partkey", "l_suppkey"))])
 
 
+@query("lineitem", sql="""SELECT l_orderkey, l_linenumber, 0 AS side, l_partkey AS k FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, 1, l_suppkey FROM lineitem""")
+def expand_projections_whole(lineitem):
+    return calc.expand(lineitem, [{"l_orderkey": F.col("l_orderkey"), "l_linenumber": F.col("l_linenumber"), "side": F.lit(i), "k": F.col(c)} for i, c in enumerate(("l_partkey", "l_suppkey"))])
+
+
 def _sums():
     return {"n": B.count(), "price": F.sum(cents("l_extendedprice"))}
 
@@ -424,6 +430,27 @@ for _how, _kind in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("
     _regular(_how, _kind)
 
 
+# The same joins over all rows of both tables; a key that is null for some rows leaves these unmatched.
+_ALL_ORDERS = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS a FROM orders)"
+_ALL_CUSTOMERS = "(SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 2 <> 0 THEN c_custkey END AS b FROM customer)"
+
+
+def _whole(how: str, kind: str):
+    columns = "o_orderkey, o_custkey" + ("" if how in ("left_semi", "left_anti") else ", c_custkey, c_nationkey")
+
+    def run(orders, customer):
+        left = orders.select("o_orderkey", "o_custkey", F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END").alias("a"))
+        right = customer.select("c_custkey", "c_nationkey", F.expr("CASE WHEN c_custkey % 2 <> 0 THEN c_custkey END").alias("b"))
+        return joins.join(left, right, [("a", "b")], how).select(*columns.split(", "))
+
+    run.__name__ = "join_whole_" + how.removeprefix("left_" if how != "left" else "")
+    query("orders", "customer", sql=f"SELECT {columns} FROM {_ALL_ORDERS} x {kind} JOIN {_ALL_CUSTOMERS} y ON a = b")(run)
+
+
+for _how, _kind in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("left_semi", "SEMI"), ("left_anti", "ANTI")):
+    _whole(_how, _kind)
+
+
 @query("orders", "lineitem", sql="""SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey
   AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAYS""")
 def join_nonequi_range(orders, lineitem):
@@ -515,6 +542,11 @@ def intersect(customer, supplier):
     return sets.intersect(customer.where("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("k")), supplier.select(F.col("s_nationkey").alias("k")))
 
 
+@query("customer", "supplier", sql="SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def intersect_whole(customer, supplier):
+    return sets.intersect(customer.select(F.col("c_nationkey").alias("k")), supplier.select(F.col("s_nationkey").alias("k")))
+
+
 @query("customer", "supplier", sql="SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 def except_all(customer, supplier):
     return sets.except_(customer.select(F.col("c_nationkey").alias("k")), supplier.select(F.col("s_nationkey").alias("k")), all_=True)
