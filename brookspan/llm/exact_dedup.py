@@ -157,6 +157,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their own columns; of rows with one identifier and text, one."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of `docs` that stay, with their own columns; of rows with one identifier (or none) and text, one."""
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept")).distinct()
+    hashed = docs.withColumn("_sha256", F.sha2(F.regexp_replace(text_or_empty(text_col), SPACES, " "), 256))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_kept"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, "_sha256"]).drop("_sha256")

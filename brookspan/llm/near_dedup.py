@@ -24,7 +24,7 @@
 
 Nulls: a null text is empty.  A text without words has an empty set and is
 linked with nothing.  A row with a null identifier keeps a null component and is
-not kept.  An empty table gives an empty result; other columns are ignored.
+not kept, but `without_near_duplicates` numbers such rows.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -398,6 +398,15 @@ def near_duplicates(
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with its own columns."""
+    """One document of each group, with its own columns.
+
+    Where identifiers are null or repeated, rows are numbered in the order of
+    identifier (nulls last) and text and grouped by number, so that every group
+    keeps its first row.
+    """
+    own = docs.columns
+    if not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(id_col).isNull()).isEmpty():
+        ordered = docs.orderBy(F.asc_nulls_last(id_col), F.sha2(text_or_empty(text_col), 256))
+        docs, id_col = stored(ordered.withColumn("_row", F.monotonically_increasing_id()), "near-numbered"), "_row"
     kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_id"), "left_semi")
+    return docs.join(kept, F.col(id_col) == F.col("_id"), "left_semi").select(*own)

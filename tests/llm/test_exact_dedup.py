@@ -51,3 +51,10 @@ def test_kept_rows_have_their_columns(odd_documents):
     assert kept.columns == odd_documents.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and {0, 1, 60} <= set(ids) and not {5, 61, 63} & set(ids)
+
+
+def test_null_and_shared_identifiers_lose_no_text(spark):
+    rows = [(None, "a b"), (None, "c"), (None, "c"), (None, "d"), (1, "d"), (2, "e x"), (2, "f"), (3, "f"), (2, "e  x"), (4, "g"), (4, "g")]
+    kept = sorted(map(repr, (tuple(r) for r in E.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert len(kept) == 6
+    assert {k for k in kept if "e" not in k.replace("None", "")} == {"(None, 'a b')", "(None, 'c')", "(1, 'd')", "(2, 'f')", "(4, 'g')"}

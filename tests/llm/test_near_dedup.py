@@ -75,3 +75,11 @@ def test_components_of_long_chains(spark):
 def test_kept_rows(odd_documents):
     kept = N.without_near_duplicates(odd_documents)
     assert kept.columns == odd_documents.columns and 0 in {r.doc_id for r in kept.collect()} and 5 not in {r.doc_id for r in kept.collect()}
+
+
+def test_null_and_shared_identifiers_keep_one_row_of_each_group(spark):
+    text = lambda k, extra="": " ".join(f"{k}{i}" for i in range(60)) + extra
+    rows = [(None, text("a")), (None, text("a", " more")), (None, text("b")), (None, text("c")), (1, text("c", " more")), (7, text("d")), (7, text("e")), (3, text("e", " more"))]
+    kept = {tuple(r) for r in N.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(kept) == 5
+    assert {(None, text("b")), (1, text("c", " more")), (7, text("d")), (3, text("e", " more"))} < kept
