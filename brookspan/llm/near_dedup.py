@@ -10,7 +10,7 @@
    for J = 0.85, 22 for 0.8).  One byte of each value is kept as a sketch.
 3. Buckets are worked through in parts of at most `CHUNK` members.  A pair is a
    candidate if its sketches agree in as many places as a pair at the threshold
-   does but with a probability of about `MISSED`, and its sizes allow a link.  First each member is
+   does but with a probability of `UNLIKE` at most, and its sizes allow a link.  First each member is
    paired with its likeliest candidate only; the confirmed links give
    components.  Then every candidate pair between different components is
    compared, parts of buckets that hold a single component never being met with
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from brookspan.llm.common import mapped, ship, slices, stored, text_or_empty
 
 BAND = 2
-#: Probability with which a pair at the threshold may share no band; and the quantile of about that of the normal distribution.
-MISSED, QUANTILE = 1e-5, 4.3
+#: Probability with which a pair at the threshold may share no band, and with which its sketches may agree too seldom.
+MISSED, UNLIKE = 1e-5, 1e-6
 #: Permutations there can be; as many are used as the threshold needs.
 MOST = 512
 CHUNK = 1024
@@ -68,7 +68,12 @@ def bands_for(percent: int) -> int:
 def agreeing_for(percent: int) -> int:
     """In how many places of their sketches two sets at the threshold agree at least."""
     n, j = 2 * BAND * bands_for(percent), percent / 100
-    return max(1, math.floor(n * j - QUANTILE * math.sqrt(n * j * (1 - j))))
+    seldom = 0.0
+    for least in range(n):  # the exact binomial tail: less than `least` places agree with probability `seldom`
+        seldom += math.comb(n, least) * j**least * (1 - j) ** (n - least)
+        if seldom > UNLIKE:
+            return max(1, least)
+    return n
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

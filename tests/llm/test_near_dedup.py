@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -66,6 +67,12 @@ def test_bands_for_thresholds():
     assert N.bands_for(85) == 16 and N.bands_for(80) > N.bands_for(85) and N.agreeing_for(85) < 0.85 * 64
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 95, 99])
+def test_sketches_of_a_pair_at_the_threshold_hardly_ever_disagree(percent):
+    n, least, j = 2 * N.BAND * N.bands_for(percent), N.agreeing_for(percent), percent / 100
+    assert sum(math.comb(n, k) * j**k * (1 - j) ** (n - k) for k in range(least)) <= N.MISSED / 10
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)]
     got = dict(N.components(spark.createDataFrame(edges, "a long, b long")).collect())
