@@ -66,6 +66,16 @@ def test_toxicity_of_held_out_documents(spark):
     assert X.score_toxicity(docs.limit(0), labels, learning).count() == 0
 
 
+def test_toxic_terms_beside_stronger_ones_have_neighbours(spark):
+    source = random.Random(6)
+    clean = lambda: " ".join(source.choice(["bread", "water", "stone", "river", "green"]) for _ in range(12))
+    rows = [(i, clean() + (" rotten vile foul" if i < 96 else ""), int(i < 96)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, "water foul river"), (901, "water rotten river"), (902, "water vile river"), (903, "green stone")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    found = {r.doc_id: r for r in X.score_toxicity(docs, labels, F.lit(True)).collect()}
+    assert all(found[i].predicted and found[i].evidence for i in (900, 901, 902)) and not found[903].predicted
+
+
 def test_block_bounds_keep_the_neighbours_exact():
     random_ = np.random.default_rng(4)
     rows = [{int(p): int(random_.integers(1, 5)) for p in random_.choice(40, random_.integers(0, 6), replace=False)} for _ in range(700)]
