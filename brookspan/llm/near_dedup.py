@@ -49,14 +49,11 @@ CHUNK = 1024
 SHINGLES = 1500
 #: Partners of one text that a task streams.
 PARTNERS = 256
-#: Word hashes kept per worker.
-MEMO = 1_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _random = np.random.default_rng(9)
 _A = _random.integers(1 << 62, 1 << 64, MOST, dtype=np.uint64, endpoint=False) | np.uint64(1)
 _B = _random.integers(0, 1 << 64, MOST, dtype=np.uint64, endpoint=False)
-_words: dict[bytes, int] = {}
 
 
 def bands_for(percent: int) -> int:
@@ -88,12 +85,8 @@ def shingles(text: str, words: int) -> np.ndarray:
     found = text.encode().translate(_LOWER).split()
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_words) > MEMO:
-        _words.clear()
-    for word in set(found):
-        if word not in _words:
-            _words[word] = xxhash.xxh64_intdigest(word)
-    codes = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    hashes = {word: xxhash.xxh64_intdigest(word) for word in set(found)}
+    codes = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     width = min(words, len(codes))
     out = np.full(len(codes) - width + 1, width, np.uint64)
     for k in range(width):

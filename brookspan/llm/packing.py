@@ -5,7 +5,9 @@ Documents are encoded, an end id is appended, and each is cut into pieces of
 about `group_bytes` of text; in a group the pieces, longest first, go to the
 first bin with room.  The tree's leaves are the bins' free places and an inner
 node is the larger of its children, so the leftmost bin with room is found in
-log2(bins) steps.  A group is all that a task holds at once, whatever the input.
+log2(bins) steps.  A group is all that a task holds at once, whatever the input;
+the hash is of the row's place in the input, so that rows without identifier or
+with one in common are spread too.
 
 The bin that stays emptiest in a group is about half full on average, and short
 pieces fill the gaps of the others, so padding is near half a sequence a group.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from brookspan.llm.common import mapped, text_or_empty
 from brookspan.llm.tokens import encoder, tokenizer_path
 
+#: Rows for which there is a group at least, however short their texts.
+GROUP_ROWS = 200_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
@@ -72,26 +76,26 @@ def pieces(
     docs: DataFrame, length: int = 4096, vocabulary: str | None = None, keeps_space: bool = False, end_id: int = 2,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """The encoded documents cut into pieces of at most `length` ids."""
+    """The encoded documents cut into pieces of at most `length` ids; `row` tells rows of one identifier apart."""
     end = struct.pack("<I", end_id)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = encoder(vocabulary or tokenizer_path("word_bpe_49k.json"), keeps_space)
-        columns: list[list] = [[], [], [], [], []]
-        for doc_id, value in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1).to_pylist()), strict=True):
+        columns: list[list] = [[], [], [], [], [], []]
+        for doc_id, value, row in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
             value += end
             n = len(value) // 4
             for start in range(0, n, length):
                 piece = value[4 * start : 4 * (start + length)]
-                for column, x in zip(columns, (doc_id, start, len(piece) // 4, piece, n), strict=True):
+                for column, x in zip(columns, (doc_id, start, len(piece) // 4, piece, n, row), strict=True):
                     column.append(x)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"]
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "row"]
         )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return mapped(rows, cut, PIECES)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return mapped(rows, cut, f"{PIECES}, row long")
 
 
 def pack(
@@ -99,10 +103,10 @@ def pack(
     group_bytes: int = 8 << 20, seed: int = 3, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset."""
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    groups = max(1, math.ceil(total / group_bytes))
+    total, rows = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
+    groups = max(1, math.ceil((total or 0) / group_bytes), math.ceil(rows / GROUP_ROWS))
     cut = pieces(docs, length, vocabulary, keeps_space, end_id, id_col, text_col)
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row", "start"), F.lit(groups))).drop("row")
 
     def fill(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brookspan.llm.common import fresh_path, mapped, ship, slices, stored, text_or_empty
+from brookspan.llm.common import fresh_path, ship, slices, stored, text_or_empty
 from brookspan.llm.tokens import encoder, tokenizer_path
 
 MAGIC = b"BSSTAB01"
@@ -53,6 +53,8 @@ INDEX = struct.Struct("<B8sQIIQ")
 BLOCK_BYTES = 1 << 16
 SHARD_BYTES = 16 << 20
 BITS_PER_KEY, PROBES = 10, 7
+#: Bytes of ids that a reading task gives at once.
+READ_BYTES = 8 << 20
 MANIFEST = "file string, part long, number long, documents long, ids long, bytes long"
 
 
@@ -198,29 +200,38 @@ def write_shards(
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids (binary) of each document, from the files."""
+    """doc_id, start (ids of all documents before it) and ids (binary) of each document, from the files.
+
+    The ids before each shard come from the manifest, so that a task reads and
+    numbers its files by itself.
+    """
     spark = manifest.sparkSession
+    ship(spark)
+    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
-    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, doc_ids, starts, values = [], [], [], []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            start = 0
-            for doc_id, value in Shard(content.as_buffer()):
-                names.append(path.rsplit("/", 1)[-1])
-                doc_ids.append(doc_id)
-                starts.append(start)
-                values.append(value)
-                start += len(value) // 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(values, pa.binary())],
-            ["file", "doc_id", "in_shard", "ids"],
-        )
-
-    order = Window.partitionBy(F.lit(0)).orderBy("part", "number").rowsBetween(Window.unboundedPreceding, 0)
-    places = manifest.select("file", (F.sum("ids").over(order) - F.col("ids")).alias("before"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("path", "content")
-    documents = mapped(files, read, "file string, doc_id long, in_shard long, ids binary")
-    return documents.join(places, "file").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "ids")
+    def read(batches):
+        store, base = pyarrow.fs.FileSystem.from_uri(_uri(folder))
+        for batch in batches:
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{base}/{name}") as file:
+                    shard = Shard(file.read())
+                rows, size = ([], [], []), 0
+                for doc_id, value in shard:
+                    for column, x in zip(rows, (doc_id, start, value), strict=True):
+                        column.append(x)
+                    start, size = start + len(value) // 4, size + len(value)
+                    if size >= READ_BYTES:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, rows, kinds.types)), schema=kinds)
+                        rows, size = ([], [], []), 0
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, rows, kinds.types)), schema=kinds)
+
+    running = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("part_ids"))
+    parts = parts.select("part", F.coalesce(F.sum("part_ids").over(running(Window.orderBy("part"))), F.lit(0)).alias("before_part"))  # a row a part
+    inside = F.coalesce(F.sum("ids").over(running(Window.partitionBy("part").orderBy("number"))), F.lit(0))
+    places = manifest.withColumn("inside", inside).join(parts, "part").select("file", (F.col("before_part") + F.col("inside")).alias("before"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + manifest.count() // 16)
+    return places.repartition(tasks, "file").mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def shard_folder(docs: DataFrame) -> str:

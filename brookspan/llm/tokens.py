@@ -5,11 +5,14 @@ white space of a run always starts a new pre-token, and so does a full stop or
 comma between a letter or digit and whatever is not punctuation.  A text can
 therefore be cut there, and the ids of the pieces, each made by the library,
 concatenate to the ids of the text.  Pieces repeat a lot, so their ids are kept
-in a bounded memo per Python worker.
+in a memo of two generations per Python worker: when the younger one is full it
+becomes the older one, and what a text uses moves to the younger again.
 
 Texts are tried at the finest cut first (`FINE`), then at blanks and line feeds
-only, and those that allow neither go through the library in one call.  A piece
-that would make a cut unsafe has `None` in the memo.
+only, and those that allow neither go through the library in one call, as do
+texts in which a special string of the vocabulary may stand: these get what the
+library's default call gives.  A piece that would make a cut unsafe has `None`
+in the memo.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ import re
 
 import numpy as np
 
-#: Pieces kept per worker and vocabulary; the memo is emptied when full.
-MEMO_PIECES = 1_500_000
+#: Pieces in one generation of a memo: some 30 MB.  A worker has two memos of two generations for a vocabulary.
+MEMO_PIECES = 160_000
 #: New pieces are encoded together, so many at a time.
 BATCH_PIECES = 4096
 
@@ -50,7 +53,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.library.no_padding()
         self.library.no_truncation()
         self.lead = " " if keeps_space else ""
@@ -58,8 +60,10 @@ class Encoder:
         #: Words are encoded many at a time, joined by something that is one token of its own beside letters.
         self.joint = "\n" if keeps_space else " \x01 "
         self.joint_ids = np.frombuffer(self.direct(self.joint), "<u4")
-        self.fine: dict[str, bytes | None] = {}
-        self.coarse: dict[str, bytes | None] = {}
+        #: How special strings begin.
+        self.special = {token.content[:2] for token in self.library.get_added_tokens_decoder().values()}
+        self.fine: list[dict[str, bytes | None]] = [{}, {}]
+        self.coarse: list[dict[str, bytes | None]] = [{}, {}]
 
     def direct(self, text: str) -> bytes:
         """The ids of one text by one call of the library."""
@@ -84,11 +88,18 @@ class Encoder:
             out += map(self.direct, [lead + word for word in some])
         return out
 
-    def _learn(self, memo: dict, pieces: set[str], fine: bool) -> None:
-        new = [piece for piece in pieces if piece not in memo]
-        if len(memo) + len(new) > MEMO_PIECES:
-            memo.clear()
-            new = list(pieces)
+    def _learn(self, generations: list[dict], pieces: set[str], fine: bool) -> dict:
+        """The younger generation, with all the pieces in it."""
+        if len(generations[0]) > MEMO_PIECES:
+            generations[:] = {}, generations[0]
+        memo, older = generations
+        new = []
+        for piece in pieces:
+            if piece not in memo:
+                if piece in older:
+                    memo[piece] = older[piece]
+                else:
+                    new.append(piece)
         words = [piece for piece in new if _LETTERS(piece)]
         memo.update(zip(words, self._words(words, self.lead), strict=True))
         opening = [piece for piece in new if piece[:1] == "\n" and _LETTERS(piece, 1)]
@@ -101,11 +112,15 @@ class Encoder:
                 memo[piece] = None
             else:
                 memo[piece] = self.direct(piece if piece[0] == "\n" or fine and piece[0] in ".," else self.lead + piece)
+        return memo
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, special strings read as ordinary text."""
+        """The ids of each text."""
         out: list[bytes | None] = [b"" if not text else None for text in texts]
-        for memo, fine in ((self.fine, True), (self.coarse, False)):
+        for i, text in enumerate(texts):
+            if any(opening in text for opening in self.special):
+                out[i] = self.direct(text)
+        for generations, fine in ((self.fine, True), (self.coarse, False)):
             cut, new = [], set()
             for i, text in enumerate(texts):
                 if out[i] is None and not (fine and any(x in text for x in _PUNCTUATION)):
@@ -116,8 +131,7 @@ class Encoder:
                         continue
                     cut.append((i, first, pieces))
                     new.update(pieces)
-            self._learn(memo, new, fine)
-            get = memo.__getitem__
+            get = self._learn(generations, new, fine).__getitem__
             for i, first, pieces in cut:
                 try:
                     out[i] = self.direct(first) + b"".join(map(get, pieces))

@@ -40,7 +40,7 @@ BLOCK = 64
 #: What a term needs: dependence on the label, and how far the rate of toxic examples with it is from the sample's.
 CHI_SQUARE, LIFT = 30.0, 2.0
 #: Words kept with their terms per worker.
-MEMO = 500_000
+MEMO = 100_000
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 

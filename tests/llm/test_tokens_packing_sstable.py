@@ -1,15 +1,33 @@
+import functools
 import struct
 import zlib
 
 import pytest
 from brookspan.llm import packing as P
 from brookspan.llm import sstable as S
-from brookspan.llm.tokens import encoder, tokenizer_path
+from brookspan.llm.tokens import Encoder, tokenizer_path
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 KINDS = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
-PIECES = st.lists(st.sampled_from(["the", " ", "\n", "  ", ".", ",", "..", "Foo", "don't", "é", "á", "\t", " ", "3.14", "ß", "<|endoftext|>", "\x01", "你好", "x,y", "$$$", "Σ"]), max_size=14).map("".join)
+PIECES = st.lists(st.sampled_from(["the", " ", "\n", "  ", ".", ",", "..", "Foo", "<|", "<|startoftext|>", "don't", "é", "á", "\t", " ", "3.14", "ß", "<|endoftext|>", "\x01", "你好", "x,y", "$$$", "Σ"]), max_size=14).map("".join)
+
+
+@functools.cache
+def plain(name):
+    """The library's own tokenizer, as anyone loads it."""
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+@functools.cache
+def _made(name, keeps):
+    return Encoder(tokenizer_path(name), keeps)
+
+
+def plain_ids(name, text):
+    ids = plain(name).encode(text, add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @pytest.mark.parametrize(("name", "keeps"), KINDS)
@@ -17,20 +35,22 @@ PIECES = st.lists(st.sampled_from(["the", " ", "\n", "  ", ".", ",", "..", "Foo"
 @given(texts=st.lists(st.one_of(PIECES, st.text(max_size=20)), max_size=4))
 def test_memoised_ids_are_the_librarys(name, keeps, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    ids = encoder(tokenizer_path(name), keeps)
-    assert ids.encode(texts) == [ids.direct(t) if t else b"" for t in texts]
+    ids = _made(name, keeps)
+    assert ids.encode(texts) == [plain_ids(name, t) for t in texts]
 
 
-def test_memo_is_emptied_and_still_right(monkeypatch):
+def test_memo_is_bounded_and_still_right(monkeypatch):
     monkeypatch.setattr("brookspan.llm.tokens.MEMO_PIECES", 3)
-    ids = encoder(tokenizer_path(KINDS[0][0]), True)
+    ids = Encoder(tokenizer_path(KINDS[0][0]), True)
     texts = ["one two three, four five. six", "seven one\neight nine"]
-    assert ids.encode(texts) == [ids.direct(t) for t in texts]
+    for _ in range(3):
+        for n in range(20):
+            assert ids.encode([*texts, f"one w{n}"]) == [plain_ids(KINDS[0][0], t) for t in [*texts, f"one w{n}"]]
+            assert max(map(len, ids.fine + ids.coarse)) <= 3 + 20  # one call's pieces beyond the bound
 
 
 def truth(docs, name, keeps, end):
-    ids = encoder(tokenizer_path(name), keeps)
-    return sorted(((r.doc_id, ids.direct(r.text or "") + struct.pack("<I", end)) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    return sorted(((r.doc_id, plain_ids(name, r.text or "") + struct.pack("<I", end)) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
 
 
 def test_shards_round_trip(odd_documents, no_documents, monkeypatch):
@@ -101,3 +121,11 @@ def test_packed_pieces_are_whole_and_gapless(odd_documents, no_documents):
             at += length
         assert at <= 64
     assert P.pack(no_documents).count() == 0
+
+
+def test_rows_of_one_identifier_are_spread_over_groups(spark, monkeypatch):
+    """Empty texts without identifiers fill no group beyond its bound, and every piece keeps its place."""
+    monkeypatch.setattr(P, "GROUP_ROWS", 50)
+    rows = P.pack(spark.createDataFrame([(None, None)] * 400, "doc_id long, text string"), length=8).collect()
+    assert len(rows) == 400 and {(r.start, r.length, bytes(r.ids)) for r in rows} == {(0, 1, struct.pack("<I", 2))}
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 400 and len({r.sequence_id >> 31 for r in rows}) == 8
