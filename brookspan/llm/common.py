@@ -87,3 +87,11 @@ def mapped(df: DataFrame, function, schema: str) -> DataFrame:
 def text_or_empty(name: str):
     """The text column, null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookspan.llm.common import SPACES, mapped, stored, text_or_empty
+from brookspan.llm.common import SPACES, fresh_name, mapped, stored, text_or_empty
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
@@ -158,7 +158,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with their own columns; of rows with one identifier (or none) and text, one."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept")).distinct()
-    hashed = docs.withColumn("_sha256", F.sha2(F.regexp_replace(text_or_empty(text_col), SPACES, " "), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_kept"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, "_sha256"]).drop("_sha256")
+    id_, sha, kept_sha = (fresh_name(docs, name) for name in ("_id", "_sha256", "_kept"))
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(kept_sha)).distinct()
+    hashed = docs.withColumn(sha, F.sha2(F.regexp_replace(text_or_empty(text_col), SPACES, " "), 256))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(kept_sha))
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)

@@ -2,20 +2,23 @@
 
 1. Every document has a size in words.  Sources get weights by their rank and
    share `share` times all words; no target exceeds `ceiling` times the words
-   its source has, and what is cut off goes to the other sources by weight
-   (water-filling, in closed form over the sources sorted by ceiling / weight).
+   its source has, and what is cut off goes to the other sources by weight.
+   The water level is found by a few aggregations over the sources.
 2. The mix consists of blocks of `block_words` words.  The highest quotients
-   target / (2 k + 1) hand the blocks out to the sources, and inside a source
-   size / (2 k + 1) to its shards, so each (source, shard) has an integer quota.
+   target / (2 k - 1) hand the blocks out to the sources, and inside a source
+   size / (2 k - 1) to its shards, so each (source, shard) has an integer quota.
+   No party gets more than `ceiling` times its words: its last block may be a
+   shorter one, and what it cannot take goes to the next highest quotients.
 3. In a shard the documents lie in a seeded order, one after another, and are
-   passed over again when the quota is not used up.  The blocks of the quota
+   passed over again when the quota is not used up.  The words of the quota
    are taken from the front of this sequence.
 
 A shard holds about `shard_docs` documents of all sources, dealt by a seeded
-hash of the identifier, so a source of any size is spread over many tasks.
+hash of identifier and text, so a source of any size is spread over many tasks.
+Equal rows of one input split are counted before they are moved.
 
 Nulls: a null text has size 0, a null source is a source of its own, last in
-the ranking.  Rows that agree in identifier and size are interchangeable.  An
+the ranking.  Rows that agree in identifier, source and text are interchangeable.  An
 empty table gives an empty result; columns other than the three named are not read.
 """
 
@@ -26,55 +29,87 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brookspan.llm.common import WORDS, stored
+from brookspan.llm.common import WORDS, fresh_name, stored, text_or_empty
 
-#: Seats for which a party's quotients are compared: from two below its share to `SEATS` above that.
-SEATS = 6
 
+def running_total(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """Adds `name`: the sum of `value` over the rows before a row in `order`, a total order.
 
-def apportioned(parties: DataFrame, group: list[str], order: list[str], claim: str, seats: Column, name: str) -> DataFrame:
-    """Adds `name`: the seats of each party of a group by the Sainte-Laguë method.
-
-    `seats`: how many the group hands out.  All seats up to two below a party's
-    exact share have quotients above any at stake; the rest go one by one to the
-    highest quotients claim / (2 k - 1), ties by `order`.
+    Rows are range-partitioned and summed inside their partition; the sums of
+    the partitions before it, one row a partition, are added.
+    """
+    dealt = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "mix-order")
+    dealt = dealt.withColumn("_chunk", F.shiftright("_at", 33))
+    before = lambda window: F.coalesce(F.sum("_sum").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy("_chunk").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select("_chunk", before(Window.orderBy("_chunk")).alias("_offset"))
+    inside = dealt.withColumn("_sum", F.col(value)).withColumn(name, before(Window.partitionBy("_chunk").orderBy("_at")))
+    return inside.join(F.broadcast(offsets), "_chunk").withColumn(name, F.col(name) + F.col("_offset")).drop("_at", "_chunk", "_sum", "_offset")
+
+
+def apportioned(parties: DataFrame, group: list[str], order: list[str], claim: str, cap: str, wanted: str, block: int, name: str) -> DataFrame:
+    """Adds `name`: the words of each party when its group's `wanted` words go out in blocks to the highest quotients claim / (2 k - 1).
+
+    The k-th block of a party has `block` words, or what is left of its `cap`;
+    ties go by `order`, and the last block is cut to what is still wanted.  Of
+    n parties that share N blocks, each surely has the blocks of its exact share
+    less claim / total * n / 2; a quotient can only be at stake up to as much
+    above the share, or a multiple of that where caps hand blocks on.  So about
+    2 n quotients are ranked for each group, whatever N is.
     """
-    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    total = F.sum(claim).over(whole)
-    base = parties.withColumn("_seats", seats).withColumn(
-        "_base", F.when(total > 0, F.greatest(F.lit(0), F.floor(F.col("_seats") * F.col(claim) / total) - 2)).otherwise(0).cast("long")
+    sums = parties.groupBy(*group).agg(
+        F.sum(claim).cast("double").alias("_total"), F.count(F.lit(1)).alias("_n"), F.sum(cap).alias("_most"), F.max(wanted).alias("_wanted")
+    )
+    part = F.when(F.col("_total") > 0, F.col(claim) / F.col("_total")).otherwise(0.0)
+    share, slack = part * F.col("_wanted") / block, part * (F.col("_n") + 1) / 2
+    blocks = F.ceil(F.col(cap) / block)
+
+    def words(seats: Column) -> Column:
+        return F.least(F.col(cap), block * seats)
+
+    low = F.least(blocks, F.greatest(F.lit(0), F.floor(share - slack + 0.5) - 1)).cast("long")
+    ready = stored(parties.join(sums, group).withColumn("_low", low).withColumn("_share", share).withColumn("_slack", slack), "mix-parties")
+    reach = 1
+    while True:
+        high = F.least(blocks, F.floor(F.col("_share") + reach * F.col("_slack") + 0.5) + 1).cast("long")
+        short = ready.groupBy(*group).agg(F.sum(words(high)).alias("_reach"), F.least(F.max("_wanted"), F.max("_most")).alias("_needed"))
+        if short.where("_reach < _needed").isEmpty():
+            break
+        reach *= 4
+    given = ready.groupBy(*group).agg(F.sum(words(F.col("_low"))).alias("_given"))
+    staked = ready.where(F.col("_low") < high).select(
+        *group, *order, claim, cap, "_wanted", F.explode(F.sequence(F.col("_low") + 1, high)).alias("_k")
+    )
+    staked = staked.withColumn("_quotient", F.col(claim) / (2 * F.col("_k") - 1).cast("double")).withColumn(
+        "_words", words(F.col("_k")) - words(F.col("_k") - 1)
     )
-    base = base.withColumn("_left", F.when(total > 0, F.col("_seats")).otherwise(0) - F.sum("_base").over(whole))
-    tried = base.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(SEATS))))
-    quotient = F.col(claim) / (2 * (F.col("_base") + F.col("_k")) - 1).cast("double")
-    ranked = tried.withColumn("_rank", F.row_number().over(whole.orderBy(quotient.desc(), *order, "_k")))
-    won = F.sum(F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)).cast("long")
-    keep = [c for c in parties.columns if c not in group + order]
-    return ranked.groupBy(*group, *order).agg(
-        *(F.first(c).alias(c) for c in keep), (F.first("_base") + won).alias(name)
+    placed = running_total(staked, [*group, F.desc("_quotient"), *order, "_k"], "_words", "_before")
+    placed = placed.join(placed.groupBy(*group).agg(F.min("_before").alias("_first")), group).join(given, group)
+    left = F.col("_wanted") - F.col("_given") - (F.col("_before") - F.col("_first"))
+    won = placed.groupBy(*group, *order).agg(F.sum(F.greatest(F.lit(0), F.least(F.col("_words"), left))).alias("_won"))
+    return ready.join(won, [*group, *order], "left").select(
+        *parties.columns, (words(F.col("_low")) + F.coalesce("_won", F.lit(0))).cast("long").alias(name)
     )
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, ceiling: float) -> DataFrame:
     """Adds `target` to the sources (null_source, source_key, source_size)."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("null_source", "source_key")) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
+    placed = running_total(sources.withColumn("_one", F.lit(1)), ["null_source", "source_key"], "_one", "_place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int"))
+    ready = stored(placed.select("null_source", "source_key", "source_size", weight.alias("_weight")), "mix-weights")
     cap = ceiling * F.col("source_size")
-    by_level = Window.partitionBy(F.lit(0)).orderBy("_level", "null_source", "source_key")
-    filled = (
-        sources.withColumn("_weight", weight)
-        .withColumn("_level", cap / F.col("_weight"))
-        .withColumn("_total", share * F.sum("source_size").over(Window.partitionBy(F.lit(0))))
-        .withColumn("_below", ceiling * (F.sum("source_size").over(by_level.rowsBetween(Window.unboundedPreceding, 0)) - F.col("source_size")))
-        .withColumn("_above", F.sum("_weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_water", (F.col("_total") - F.col("_below")) / F.col("_above"))
+    full = cap / F.col("_weight")
+    total, level, held = share * (ready.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:  # the level rises, and the sources that are full at it become more, until none is added
+        under, of, n = ready.agg(
+            F.sum(F.when(full <= level, F.col("source_size"))), F.sum(F.when(full > level, F.col("_weight"))), F.count(F.when(full <= level, 1))
+        ).first()
+        if n == held or not of:
+            break
+        level, held = (total - ceiling * (under or 0)) / of, n
+    return ready.select(
+        "null_source", "source_key", "source_size", F.least(cap, F.col("_weight") * F.lit(level if of else math.inf)).alias("target")
     )
-    everything = by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = F.first(F.when(F.col("_water") <= F.col("_level"), F.col("_water")), ignorenulls=True).over(everything)
-    return filled.select(
-        "null_source", "source_key", "source_size",
-        F.least(cap, F.col("_weight") * F.coalesce(level, F.lit(math.inf))).alias("target"),
-    )
 
 
 def mix(
@@ -94,35 +129,44 @@ def mix(
     `taken` counts words with repeats; `copies` full copies and `part` words of
     another one make it up.  See the module's description.
     """
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(text_or_empty(text_col))))
     sized = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).isNull().alias("null_source"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+            place.alias("place"),
+            F.spark_partition_id().alias("split"),
         ),
         "mix-sizes",
     )
     shards = max(1, math.ceil(sized.count() / shard_docs))
-    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    dealt = sized.withColumn("place", place).withColumn(
-        "shard", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % shards
-    )
     key = ["null_source", "source_key"]
-    cells = stored(dealt.groupBy(*key, "shard").agg(F.sum("size").alias("shard_size")), "mix-cells")
+    dealt = (
+        sized.groupBy("doc_id", *key, "size", "place", "split")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("shard", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % shards)
+    )
+    cells = stored(dealt.groupBy(*key, "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("shard_size")), "mix-cells")
     wanted = targets(cells.groupBy(*key).agg(F.sum("shard_size").alias("source_size")), weights, share, ceiling)
-    blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long")
-    wanted = apportioned(wanted, [], key, "target", blocks, "source_blocks")
-    quotas = apportioned(
-        cells.join(wanted, key), key, ["shard"], "shard_size", F.col("source_blocks"), "blocks"
-    ).withColumn("quota", F.least(F.col("blocks") * block_words, (F.col("shard_size") * ceiling).cast("long")))
-    laid = Window.partitionBy(*key, "shard").orderBy("place", "doc_id", "size")
-    before = F.sum("size").over(laid.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    most = F.floor(ceiling * F.col("source_size")).cast("long")
+    all_words = wanted.agg(F.round(F.sum("target"))).first()[0] or 0.0
+    wanted = wanted.withColumn("whole", F.lit(0)).withColumn("most", most).withColumn("wanted", F.lit(int(all_words)))
+    wanted = apportioned(wanted, ["whole"], key, "target", "most", "wanted", block_words, "source_quota")
+    shares = cells.join(wanted.select(*key, "source_size", "target", "source_quota"), key)
+    shares = shares.withColumn("most", F.floor(ceiling * F.col("shard_size")).cast("long"))
+    quotas = apportioned(shares, key, ["shard"], "shard_size", "most", "source_quota", block_words, "quota")
+    quotas = quotas.select(*key, "shard", "shard_size", "source_size", "target", "quota")
+    laid = Window.partitionBy(*key, "shard").orderBy("place", "doc_id", "size", "split")
+    mass = F.col("size") * F.col("rows")
     copies = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.greatest(F.col("shard_size"), F.lit(1)))).otherwise(0).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - copies * F.col("shard_size") - F.col("before")))
     return (
-        dealt.join(quotas, [*key, "shard"])
-        .withColumn("before", before)
+        dealt.withColumn("before", F.sum(mass).over(laid.rowsBetween(Window.unboundedPreceding, 0)) - mass)
+        .join(quotas, [*key, "shard"])
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+        .withColumn("before", F.col("before") + F.col("copy") * F.col("size"))
         .select(
             "doc_id",
             F.when(~F.col("null_source"), F.col("source_key")).alias("source"),
@@ -140,23 +184,21 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents of the mix with their own columns: full copies, and a part cut after its last word.
 
     The part's words are separated by single blanks.  Documents of size 0 and
-    those that the mix does not take are left out.  Rows that share an
-    identifier are expanded alike.
+    those that the mix does not take are left out.  Where identifiers are null
+    or repeated, rows are told apart by a number of their own.
     """
-    taken = mix(docs, **parameters)
-    key = parameters.get("id_col", "doc_id")
-    text = parameters.get("text_col", "text")
-    counts = taken.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(
-        F.max("copies").alias("_copies"), F.max("part").alias("_part")
-    )
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
-    joined = docs.withColumn("_own", size).join(counts, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
+    own, text = docs.columns, parameters.get("text_col", "text")
+    key = parameters.pop("id_col", "doc_id")
+    if not docs.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) | F.col(key).isNull()).isEmpty():
+        docs, key = stored(docs.withColumn(row := fresh_name(docs, "_row"), F.monotonically_increasing_id()), "mix-numbered"), row
+    id_, copies, part, cut_ = (fresh_name(docs, name) for name in ("_id", "_copies", "_part", "_cut"))
+    taken = mix(docs, id_col=key, **parameters).where(F.col("taken") > 0)
+    taken = taken.select(F.col("doc_id").alias(id_), F.col("copies").alias(copies), F.col("part").alias(part))
     pieces = F.concat(
-        F.array_repeat(F.lit(False), F.col("_copies").cast("int")),
-        F.array_repeat(F.lit(True), (F.col("_part") > 0).cast("int")),
+        F.array_repeat(F.lit(False), F.col(copies).cast("int")),
+        F.array_repeat(F.lit(True), (F.col(part) > 0).cast("int")),
     )
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col("_part")).cast("int")), " ")
-    return joined.withColumn("_cut", F.explode(pieces)).select(
-        *(F.when(F.col("_cut"), cut).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns)
-    )
+    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col(part)).cast("int")), " ")
+    joined = docs.join(taken, docs[key] == taken[id_]).withColumn(cut_, F.explode(pieces))
+    return joined.select(*(F.when(F.col(cut_), cut).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in own))

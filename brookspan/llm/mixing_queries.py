@@ -16,7 +16,7 @@ OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS null_source, coalesce(source, '') AS source_key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('20:' || coalesce(doc_id::VARCHAR, 'null')) AS place
+         md5('20:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents),
 dealt AS (
   SELECT *, CAST('0x' || substr(place, 1, 8) AS BIGINT)
@@ -36,32 +36,28 @@ targets AS (
   SELECT null_source, source_key, source_size,
          least(2.0::DOUBLE * source_size, weight * (SELECT arg_min(w, (level, null_source, source_key)) FROM water WHERE w <= level)) AS target
   FROM water),
-seats AS (SELECT round((SELECT sum(target) FROM targets) / 16)::BIGINT AS n),
-base1 AS (
-  SELECT *, greatest(0, floor((SELECT n FROM seats) * target / (SELECT sum(target) FROM targets)) - 2)::BIGINT AS base FROM targets),
-ranked1 AS (
-  SELECT b.*, row_number() OVER (ORDER BY target / (2 * (base + k) - 1)::DOUBLE DESC, null_source, source_key, k) AS rank,
-         (SELECT n FROM seats) - (SELECT sum(base) FROM base1) AS rest
-  FROM base1 b, range(1, 7) r(k)),
-blocks1 AS (
-  SELECT null_source, source_key, any_value(source_size) AS source_size, any_value(target) AS target,
-         any_value(base) + count(*) FILTER (rank <= rest) AS n
-  FROM ranked1 GROUP BY ALL),
-base2 AS (
-  SELECT c.*, b.source_size, b.target, b.n,
-         CASE WHEN b.source_size > 0 THEN greatest(0, floor(b.n * c.shard_size / b.source_size) - 2)::BIGINT ELSE 0 END AS base
-  FROM cells c JOIN blocks1 b USING (null_source, source_key)),
-left2 AS (
-  SELECT *, CASE WHEN source_size > 0 THEN n ELSE 0 END - sum(base) OVER (PARTITION BY null_source, source_key) AS rest FROM base2),
-ranked2 AS (
-  SELECT l.*, row_number() OVER (PARTITION BY null_source, source_key
-                                 ORDER BY shard_size / (2 * (base + k) - 1)::DOUBLE DESC, shard, k) AS rank
-  FROM left2 l, range(1, 7) r(k)),
-quotas AS (
-  SELECT null_source, source_key, shard, any_value(shard_size) AS shard_size, any_value(source_size) AS source_size,
-         any_value(target) AS target,
-         least(16 * (any_value(base) + count(*) FILTER (rank <= rest)), 2 * any_value(shard_size)) AS quota
-  FROM ranked2 GROUP BY ALL),
+all_words AS (SELECT round(sum(target))::BIGINT AS wanted FROM targets),
+quotients1 AS (
+  SELECT null_source, source_key, least(16 * k, 2 * source_size) - 16 * (k - 1) AS words, target / (2 * k - 1)::DOUBLE AS quotient, k
+  FROM targets, LATERAL unnest(range(1, 1 + ceil(2 * source_size / 16)::BIGINT)) AS u(k)),
+handed1 AS (
+  SELECT *, sum(words) OVER (ORDER BY quotient DESC, null_source, source_key, k ROWS UNBOUNDED PRECEDING) - words AS before FROM quotients1),
+won1 AS (
+  SELECT null_source, source_key, sum(greatest(0, least(words, (SELECT wanted FROM all_words) - before)))::BIGINT AS source_quota
+  FROM handed1 GROUP BY ALL),
+cells2 AS (
+  SELECT c.*, t.source_size, t.target, coalesce(w.source_quota, 0) AS source_quota
+  FROM cells c JOIN targets t USING (null_source, source_key) LEFT JOIN won1 w USING (null_source, source_key)),
+quotients2 AS (
+  SELECT null_source, source_key, shard, source_quota, least(16 * k, 2 * shard_size) - 16 * (k - 1) AS words,
+         shard_size / (2 * k - 1)::DOUBLE AS quotient, k
+  FROM cells2, LATERAL unnest(range(1, 1 + ceil(2 * shard_size / 16)::BIGINT)) AS u(k)),
+handed2 AS (
+  SELECT *, sum(words) OVER (PARTITION BY null_source, source_key ORDER BY quotient DESC, shard, k ROWS UNBOUNDED PRECEDING) - words AS before
+  FROM quotients2),
+won2 AS (
+  SELECT null_source, source_key, shard, sum(greatest(0, least(words, source_quota - before)))::BIGINT AS quota FROM handed2 GROUP BY ALL),
+quotas AS (SELECT c.*, coalesce(w.quota, 0) AS quota FROM cells2 c LEFT JOIN won2 w USING (null_source, source_key, shard)),
 laid AS (
   SELECT d.*, q.shard_size, q.source_size, q.target, q.quota,
          sum(size) OVER (PARTITION BY null_source, source_key, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before,
@@ -73,4 +69,5 @@ FROM laid
 """
 
 QUERIES = {"op10_mix": op10_mix}
+#: Every quotient of every party is ranked here, by the definition of the method.
 ORACLES = {"op10_mix": OP10_SQL}

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookspan.llm.common import mapped, ship, slices, stored, text_or_empty
+from brookspan.llm.common import fresh_name, mapped, ship, slices, stored, text_or_empty
 
 BAND = 2
 #: Probability with which a pair at the threshold may share no band, and with which its sketches may agree too seldom.
@@ -402,9 +402,9 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     identifier (nulls last) and text and grouped by number, so that every group
     keeps its first row.
     """
-    own = docs.columns
-    if not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(id_col).isNull()).isEmpty():
+    own, row = docs.columns, fresh_name(docs, "_row")
+    if not docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) | F.col(id_col).isNull()).isEmpty():
         ordered = docs.orderBy(F.asc_nulls_last(id_col), F.sha2(text_or_empty(text_col), 256))
-        docs, id_col = stored(ordered.withColumn("_row", F.monotonically_increasing_id()), "near-numbered"), "_row"
-    kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_id"), "left_semi").select(*own)
+        docs, id_col = stored(ordered.withColumn(row, F.monotonically_increasing_id()), "near-numbered"), row
+    kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_ := fresh_name(docs, "_id"))).distinct()
+    return docs.join(kept, F.col(id_col) == F.col(id_), "left_semi").select(*own)
