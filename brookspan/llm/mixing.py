@@ -151,8 +151,9 @@ def mix(
     cells = stored(dealt.groupBy(*key, "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("shard_size")), "mix-cells")
     wanted = targets(cells.groupBy(*key).agg(F.sum("shard_size").alias("source_size")), weights, share, ceiling)
     most = F.floor(ceiling * F.col("source_size")).cast("long")
-    all_words = wanted.agg(F.round(F.sum("target"))).first()[0] or 0.0
-    wanted = wanted.withColumn("whole", F.lit(0)).withColumn("most", most).withColumn("wanted", F.lit(int(all_words)))
+    there, room = wanted.agg(F.sum("source_size"), F.sum(most)).first()
+    all_words = min(math.floor(share * (there or 0)), room or 0)  # the whole words of the targets' sum
+    wanted = wanted.withColumn("whole", F.lit(0)).withColumn("most", most).withColumn("wanted", F.lit(all_words).cast("long"))
     wanted = apportioned(wanted, ["whole"], key, "target", "most", "wanted", block_words, "source_quota")
     shares = cells.join(wanted.select(*key, "source_size", "target", "source_quota"), key)
     shares = shares.withColumn("most", F.floor(ceiling * F.col("shard_size")).cast("long"))

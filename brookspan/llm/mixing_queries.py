@@ -36,7 +36,7 @@ targets AS (
   SELECT null_source, source_key, source_size,
          least(2.0::DOUBLE * source_size, weight * (SELECT arg_min(w, (level, null_source, source_key)) FROM water WHERE w <= level)) AS target
   FROM water),
-all_words AS (SELECT round(sum(target))::BIGINT AS wanted FROM targets),
+all_words AS (SELECT least(floor(1.5 * sum(source_size)), sum(2 * source_size))::BIGINT AS wanted FROM targets),
 quotients1 AS (
   SELECT null_source, source_key, least(16 * k, 2 * source_size) - 16 * (k - 1) AS words, target / (2 * k - 1)::DOUBLE AS quotient, k
   FROM targets, LATERAL unnest(range(1, 1 + ceil(2 * source_size / 16)::BIGINT)) AS u(k)),
