@@ -74,11 +74,9 @@ def json_query(s, path: str) -> Column:
 
 
 def _nested(s: Column, path: str) -> Column:
-    """Whether an object or array is at the path: its value opens with a bracket and still parses, or has children."""
-    found = F.ltrim(F.get_json_object(s, path))
-    inside = F.get_json_object(s, path + "[0]").isNotNull() | F.get_json_object(s, path + "[*]").isNotNull()
-    opened = found.startswith("{") & F.json_object_keys(found).isNotNull() | found.startswith("[") & (F.json_array_length(found).isNotNull())
-    return F.coalesce(opened | inside & found.startswith("["), F.lit(False))
+    """Whether an object or array, and not a text that looks like one, is at the path."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(s), path, "variant"))
+    return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
 
 
 def to_timestamp_ltz(n, precision: int = 0) -> Column:

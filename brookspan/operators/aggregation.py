@@ -19,6 +19,30 @@ def group_agg(df: DataFrame, keys: list[str], aggregates: dict[str, Column], row
     return rows.groupBy(*keys).agg(*columns) if keys else rows.agg(*columns)
 
 
+def distinct_counts(df: DataFrame, keys: list[str], values: list[str], wheres: dict[str, Column | None], name: Callable[[str, str], str]) -> DataFrame:
+    """For each value column and condition (None: every row) how many different values a key has; the column is named name(condition, value).
+
+    Each value column is grouped once with its key, keeping for every condition
+    whether a row meets it; the groups are then counted.  So rows are never
+    copied for their conditions, and both steps aggregate before they shuffle.
+    """
+    out = None
+    for value in values:
+        met = {c: F.bool_or(F.coalesce(w, F.lit(False))) if w is not None else F.lit(True) for c, w in wheres.items()}
+        seen = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"), *(e.alias(f"_met_{c}") for c, e in met.items() if wheres[c] is not None))
+        kept = {c: F.col(value).isNotNull() & (F.col(f"_met_{c}") if wheres[c] is not None else F.lit(True)) for c in wheres}
+        counts = seen.groupBy(*keys).agg(*(F.count_if(e).alias(name(c, value)) for c, e in kept.items()))
+        out = counts if out is None else beside(out, counts, keys)
+    return out
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two aggregations by the same keys as one; null keys meet."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, on, "inner").drop(*(f"_right_{k}" for k in keys))
+
+
 def weighted_agg(df: DataFrame, keys: list[str], aggregates: dict[str, Column], row_kind: str = "row_kind") -> DataFrame:
     """Aggregates of a changelog without netting: for COUNT, SUM and AVG made with `weight=changelog.weight()`.  One shuffle."""
     alive = F.sum(weight(row_kind)).alias("_alive")

@@ -33,10 +33,13 @@ def _zoned(time: Column, zone: str | None) -> Column:
 
 def _named(df: DataFrame, window: Column, zone: str | None) -> DataFrame:
     back = (lambda c: c) if zone in (None, "UTC") else (lambda c: F.to_utc_timestamp(c, zone))
-    rows = df.withColumn("window", window)
-    bounds = back(F.col("window.start")).alias("window_start"), back(F.col("window.end")).alias("window_end")
+    if taken := {"window_start", "window_end", *(["window"] if df.isStreaming else [])} & set(df.columns):
+        raise ValueError(f"the input has columns that windows add: {sorted(taken)}")
+    name = "window" if df.isStreaming else "_assigned_window"
+    rows = df.withColumn(name, window)
+    bounds = back(F.col(f"{name}.start")).alias("window_start"), back(F.col(f"{name}.end")).alias("window_end")
     # in a stream only the window itself carries the watermark, so it stays for the aggregation
-    return rows.select(*df.columns, *bounds, *(["window"] if df.isStreaming else []))
+    return rows.select(*df.columns, *bounds, *([name] if df.isStreaming else []))
 
 
 def tumble(df: DataFrame, time: str, size: str, offset: str = "0 seconds", zone: str | None = None) -> DataFrame:

@@ -105,18 +105,24 @@ def _ranges(prefix: str = "") -> dict:
     return {f"{prefix}{name}": where for name, where in steps.items()}
 
 
+def _distinct(bids: DataFrame, keys: list[str]) -> DataFrame:
+    """Bidders and auctions by key, of all bids and by range of price."""
+    return aggregation.distinct_counts(bids, keys, ["bidder", "auction"], {"total": None} | _ranges(), lambda where, what: f"{where}_{what}s")
+
+
 def q15(t: Tables) -> DataFrame:
+    bids = t["bid"].withColumn("day", B.date_format("dateTime", "yyyy-MM-dd"))
     aggs = {"total_bids": B.count()} | {f"{n}_bids": B.count(where=w) for n, w in _ranges().items()}
-    for what in ("bidder", "auction"):
-        aggs |= {f"total_{what}s": B.count_distinct(what)} | {f"{n}_{what}s": B.count_distinct(what, where=w) for n, w in _ranges().items()}
-    return aggregation.group_agg(t["bid"].withColumn("day", B.date_format("dateTime", "yyyy-MM-dd")), ["day"], aggs)
+    return aggregation.beside(aggregation.group_agg(bids, ["day"], aggs), _distinct(bids, ["day"]), ["day"])
 
 
 def q16(t: Tables) -> DataFrame:
-    aggs = {"minute": F.max(B.date_format("dateTime", "HH:mm")), "total_bids": B.count()} | {f"{n}_bids": B.count(where=w) for n, w in _ranges().items()}
-    for what in ("bidder", "auction"):
-        aggs |= {f"total_{what}s": B.count_distinct(what)} | {f"{n}_{what}s": B.count_distinct(what, where=w) for n, w in _ranges().items()}
-    return aggregation.group_agg(t["bid"].withColumn("day", B.date_format("dateTime", "yyyy-MM-dd")), ["channel", "day"], aggs)
+    bids = t["bid"].withColumn("day", B.date_format("dateTime", "yyyy-MM-dd"))
+    minute = F.max(F.hour("dateTime") * 60 + F.minute("dateTime"))  # a number: text would be sorted
+    aggs = {"minute": minute, "total_bids": B.count()} | {f"{n}_bids": B.count(where=w) for n, w in _ranges().items()}
+    plain = aggregation.group_agg(bids, ["channel", "day"], aggs)
+    plain = plain.withColumn("minute", F.format_string("%02d:%02d", F.floor(F.col("minute") / 60), F.col("minute") % 60))
+    return aggregation.beside(plain, _distinct(bids, ["channel", "day"]), ["channel", "day"])
 
 
 def q17(t: Tables) -> DataFrame:

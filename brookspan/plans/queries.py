@@ -65,11 +65,10 @@ def calc_null_condition(customer):
     return calc.calc(customer.withColumn("n", F.expr("nullif(c_nationkey % 5, 0)")), {"c_custkey": "c_custkey", "n": "n"}, F.col("n") > 1)
 
 
-@query("lineitem", sql="""SELECT l_orderkey, 0 AS side, l_partkey AS k FROM lineitem WHERE l_linenumber = 1
-  UNION ALL SELECT l_orderkey, 1, l_suppkey FROM lineitem WHERE l_linenumber = 1""")
+@query("lineitem", sql="""SELECT l_orderkey, 0 AS side, l_partkey AS k FROM lineitem
+  UNION ALL SELECT l_orderkey, 1, l_suppkey FROM lineitem""")
 def expand_projections(lineitem):
-    rows = lineitem.where("l_linenumber = 1")
-    return calc.expand(rows, [{"l_orderkey": F.col("l_orderkey"), "side": F.lit(i), "k": F.col(c)} for i, c in enumerate(("l_partkey", "l_suppkey"))])
+    return calc.expand(lineitem, [{"l_orderkey": F.col("l_orderkey"), "side": F.lit(i), "k": F.col(c)} for i, c in enumerate(("l_partkey", "l_suppkey"))])
 
 
 @query("lineitem", sql="""SELECT l_orderkey, l_linenumber, 0 AS side, l_partkey AS k FROM lineitem
@@ -407,30 +406,22 @@ def changelog_of_upserts(events):
 
 # --- joins -------------------------------------------------------------------------------------------------------------
 
-def _few(orders):
-    return orders.select("o_orderkey", "o_custkey", "o_orderdate").where("o_orderkey % 3 = 0")
-
-
-_FEW = "(SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey % 3 = 0)"
-_CUSTOMERS = "(SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 2 = 0)"
-
-
 def _regular(how: str, kind: str):
     columns = "o_orderkey, o_custkey" + ("" if how in ("left_semi", "left_anti") else ", c_custkey, c_nationkey")
 
     def run(orders, customer):
-        found = joins.join(_few(orders), customer.select("c_custkey", "c_nationkey").where("c_custkey % 2 = 0"), [("o_custkey", "c_custkey")], how)
+        found = joins.join(orders.select("o_orderkey", "o_custkey"), customer.select("c_custkey", "c_nationkey"), [("o_custkey", "c_custkey")], how)
         return found.select(*columns.split(", "))
 
     run.__name__ = "join_" + how.removeprefix("left_" if how != "left" else "")
-    query("orders", "customer", sql=f"SELECT {columns} FROM {_FEW} a {kind} JOIN {_CUSTOMERS} b ON o_custkey = c_custkey")(run)
+    query("orders", "customer", sql=f"SELECT {columns} FROM orders {kind} JOIN customer ON o_custkey = c_custkey")(run)
 
 
 for _how, _kind in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("left_semi", "SEMI"), ("left_anti", "ANTI")):
     _regular(_how, _kind)
 
 
-# The same joins over all rows of both tables; a key that is null for some rows leaves these unmatched.
+# The same joins with a key that is null for some rows, which leaves these unmatched.
 _ALL_ORDERS = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS a FROM orders)"
 _ALL_CUSTOMERS = "(SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 2 <> 0 THEN c_custkey END AS b FROM customer)"
 
@@ -537,9 +528,9 @@ def union_distinct(customer, supplier):
     return sets.union_distinct(customer.select(F.col("c_nationkey").alias("k")), supplier.select(F.col("s_nationkey").alias("k")))
 
 
-@query("customer", "supplier", sql="SELECT c_nationkey AS k FROM customer WHERE c_custkey % 2 = 0 INTERSECT SELECT s_nationkey FROM supplier")
+@query("customer", "supplier", sql="SELECT c_custkey % 40 AS k FROM customer INTERSECT SELECT s_nationkey + 20 FROM supplier")
 def intersect(customer, supplier):
-    return sets.intersect(customer.where("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("k")), supplier.select(F.col("s_nationkey").alias("k")))
+    return sets.intersect(customer.select((F.col("c_custkey") % 40).alias("k")), supplier.select((F.col("s_nationkey") + 20).alias("k")))
 
 
 @query("customer", "supplier", sql="SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")

@@ -7,11 +7,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from brookspan.plans import nexmark_queries, queries
+from brookspan.plans import nexmark_queries, queries, surface_queries
 
 ROOT = Path(__file__).resolve().parents[1]
-QUERIES = queries.QUERIES | nexmark_queries.QUERIES
-ORACLES = queries.ORACLES | nexmark_queries.ORACLES
+QUERIES = queries.QUERIES | nexmark_queries.QUERIES | surface_queries.QUERIES
+ORACLES = queries.ORACLES | nexmark_queries.ORACLES | surface_queries.ORACLES
 
 
 def plain(v):
