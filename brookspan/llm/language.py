@@ -7,7 +7,7 @@ spherical k-means.  The prediction is the language of the centroid with the
 highest cosine.  A text whose distance 1 - cosine exceeds what nearly all
 learning texts of that centroid have is `rejected`.
 
-Learning takes at most `per_language` texts of each language, in the order of a
+A text of any length is counted whole, in one vector of fixed size.  Learning takes at most `per_language` texts of each language, in the order of a
 hash of the identifier; only their trigram counts reach the driver.
 
 Nulls: a text that is null or has no letter is `und` with score 0, and so is
@@ -69,20 +69,26 @@ class Centroids:
         return out
 
 
-def fit(vectors: np.ndarray, labels: list[str], clusters: int, seed: int) -> Centroids:
-    """Spherical k-means inside each language; vectors: trigram counts, one row a text, overwritten."""
+def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[str], clusters: int, seed: int) -> Centroids:
+    """Spherical k-means inside each language; vectors: places and counts of each text's trigrams.
+
+    Only the texts of one language are laid out over all places at a time.
+    """
     languages = sorted(set(labels))
-    frequency = np.count_nonzero(vectors, axis=0)
+    frequency = np.zeros(BUCKETS, np.int64)
+    for places, _ in vectors:
+        frequency[places] += 1
     idf = (np.log((1 + len(vectors)) / (1 + frequency)) + 0.05).astype(np.float32)
-    rows = vectors  # scaled in place: the sample is held once
-    rows *= idf
-    for row in rows:
-        row /= max(float(np.linalg.norm(row)), 1e-9)
     centres, owners, reach = [], [], []
     random = np.random.default_rng(seed)
     of = np.array([languages.index(x) for x in labels])
     for language in range(len(languages)):
-        own = rows[of == language]
+        mine = np.flatnonzero(of == language)
+        own = np.zeros((len(mine), BUCKETS), np.float32)
+        for row, i in zip(own, mine.tolist(), strict=True):
+            places, counts = vectors[i]
+            row[places] = counts * idf[places]
+            row /= max(float(np.linalg.norm(row)), 1e-9)
         k = min(clusters, len(own))
         middle = own[random.choice(len(own), k, replace=False)]
         for _ in range(12):
@@ -122,9 +128,7 @@ def learn(docs: DataFrame, per_language: int, clusters: int, seed: int) -> Centr
     places, counts = found.column("places"), found.column("counts")
     marks = [hashlib.md5(p.values.to_numpy().tobytes() + c.values.to_numpy().tobytes()).digest() for p, c in zip(places, counts, strict=True)]
     stable = sorted(range(len(labels)), key=lambda i: (labels[i], marks[i]))  # whatever order the rows came in
-    vectors = np.zeros((found.num_rows, BUCKETS), np.float32)
-    for row, i in enumerate(stable):
-        vectors[row, places[i].values.to_numpy()] = counts[i].values.to_numpy()
+    vectors = [(places[i].values.to_numpy(), counts[i].values.to_numpy().astype(np.float32)) for i in stable]
     return fit(vectors, [labels[i] for i in stable], clusters, seed)
 
 
