@@ -19,6 +19,9 @@ identifiers are the evidence.
 The sample: at most `per_class` labelled rows of each class, in the order of a
 hash of the identifier.  Class counts cover all labelled rows.
 
+Ties go to the smaller identifier, and copies of an example count once, so
+reruns agree.  A text of any length is read whole.
+
 Nulls: a null text is empty.  Rows of labels with a null identifier or label
 are left out; an identifier labelled more than once counts as toxic if one of
 its labels is.  With no labels the score is 0 everywhere.  Other columns are
@@ -31,10 +34,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookspan.llm.common import mapped, ship, slices, text_or_empty
+from brookspan.llm.common import mapped, ship, slices, stored, text_or_empty
 
 BLOCK = 64
 #: What a term needs: dependence on the label, and how far the rate of toxic examples with it is from the sample's.
@@ -159,14 +162,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int, terms: int, neighb
     spark = docs.sparkSession
     ship(spark)
     counts = {row["toxic"]: row["n"] for row in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("toxic").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "doc_id")), "doc_id")
-    chosen = labels.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    order = F.md5(F.concat_ws(":", F.lit(seed), "doc_id")), F.col("doc_id")
+    bad_ones, good_ones = (labels.where(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (1, 0))  # each task sends so many at most
     sample = (
-        docs.join(F.broadcast(chosen), "doc_id")
-        .withColumn("_text", F.md5("text"))
-        .dropDuplicates(["toxic", "_text"])  # a text that is copied counts once
+        docs.join(F.broadcast(bad_ones.unionByName(good_ones)), "doc_id")
+        .groupBy("toxic", F.md5("text").alias("_md5"))  # a text that is copied counts once, as its smallest identifier
+        .agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
         .select("doc_id", "toxic", "text")
     )
+    sample = stored(sample, "toxicity-sample")
 
     def frequencies(batches):
         for batch in slices(batches, 2048, 64 << 20):
