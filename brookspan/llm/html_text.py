@@ -8,6 +8,8 @@ parent and of the page), its tag and the words of its class, id and role
 attributes, those of its ancestors, its depth and its siblings.  Boosted trees
 give each node's odds of being wholly article, wholly not, or mixed.
 
+Navigation, asides, footers, menus, dialogs, headers outside an article, and
+forms that hold less than half of the page's text are never article text.
 The decoding takes the likeliest assignment in which all nodes under a wholly
 article (or wholly other) node are the same, so an ancestor never contradicts a
 descendant.  Article nodes' blocks are joined in page order by one line feed,
@@ -15,7 +17,8 @@ white space inside a block being one blank.
 
 There are no labelled pages, so the trees are fitted to pages written by
 `written_page`, whose article is known: `pages` of them, seeded, on the driver.
-Scripts, styles, templates, heads, frames and forms never count as text.
+Scripts, styles, templates, heads, frames and form controls never count as text.
+A page of any length is read whole; the work grows with its nodes.
 
 Nulls: null html is empty and has the empty text; every row is kept, also when
 identifiers are null or repeat.  An empty table gives an empty result.
@@ -46,7 +49,10 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noframes iframe noembed".split())
-NO_TEXT = RAW | set("template head noscript object svg canvas audio video select button form datalist math".split())
+NO_TEXT = RAW | set("template head noscript svg canvas select button datalist".split())
+#: Elements that by their meaning are never article text, wherever they stand; a header is not outside the second kind.
+NEVER_MAIN = set("nav aside footer menu dialog form".split())
+ARTICLES = set("article main".split())
 IN_HEAD = set("base link meta title style script noscript template".split())
 #: An element of the first kind is closed by the start of one of the second kind.
 CLOSED_BY = {
@@ -200,15 +206,23 @@ def described(all_: list[Node], vocabulary: dict[str, int]) -> np.ndarray:
     numbers = np.zeros((len(all_), len(STEPS)))
     marks: dict[int, set[int]] = {}
     seen = 0
+    met: dict[int, int] = {}  # children of a node so far
+    kinds: dict[int, tuple[dict[str, int], float]] = {}  # tags among a node's children, and their mean characters
     for i, node in enumerate(all_):
         parent = node.parent
         siblings = parent.children if parent else [node]
-        place = next(k for k, s in enumerate(siblings) if s is node) / max(1, len(siblings) - 1)
-        same = sum(s.tag == node.tag for s in siblings) - 1
+        if (known := kinds.get(id(parent))) is None:
+            tags: dict[str, int] = {}
+            for s in siblings:
+                tags[s.tag] = tags.get(s.tag, 0) + 1
+            known = kinds[id(parent)] = tags, sum(s.chars for s in siblings) / len(siblings)
+        place = met.get(id(parent), 0) / max(1, len(siblings) - 1)
+        met[id(parent)] = met.get(id(parent), 0) + 1
+        same = known[0][node.tag] - 1
         numbers[i] = (
             node.chars, node.chars / node.tags, node.links / node.chars, node.marks / node.chars, node.chars / page,
             node.chars / max(1, parent.chars) if parent else 1.0, node.depth, place, same,
-            sum(s.chars for s in siblings) / len(siblings), seen / page, len(node.children),
+            known[1], seen / page, len(node.children),
             (parent.links / max(1, parent.chars)) if parent else 0.0,
         )
         seen += node.direct
@@ -229,6 +243,13 @@ def decoded(all_: list[Node], logs: np.ndarray) -> list[int]:
     """The likeliest labels in which nodes under a MAIN or OTHER node have its label."""
     place = {id(node): i for i, node in enumerate(all_)}
     best = logs.copy()
+    inside: set[int] = set()  # nodes in an article
+    for i, node in enumerate(all_):
+        if node.tag in ARTICLES or node.parent and id(node.parent) in inside:
+            inside.add(id(node))
+        never = node.tag in NEVER_MAIN and not (node.tag == "form" and 2 * node.chars > all_[0].chars)
+        if never or node.tag == "header" and id(node) not in inside:
+            best[i] = (-math.inf, 0.0, -math.inf)
     best[[i for i, node in enumerate(all_) if not node.children], MIXED] = -math.inf
     for i in range(len(all_) - 1, 0, -1):
         up = place[id(all_[i].parent)]

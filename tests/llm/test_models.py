@@ -1,9 +1,11 @@
 """Language, toxicity and main text: held-out accuracy, exact neighbours, awkward rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
+import pytest
 from brookspan.llm import html_text as H
 from brookspan.llm import language as L
 from brookspan.llm import toxicity as X
@@ -146,3 +148,34 @@ def test_labels_never_contradict():
         for node in all_:
             if node.parent and label[id(node.parent)] != H.MIXED:
                 assert label[id(node)] == label[id(node.parent)]
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>t</title></head><body>{body}</body></html>"
+
+
+PARAGRAPHS = [f"The {a} of the old town was {b} in the summer, and people came from far away to see it, again and again." for a, b in (("bridge", "repaired"), ("market", "opened"), ("library", "moved"))]
+ARTICLE = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+LAYOUTS = [
+    page(f"<header>Site name</header><nav><a href='/'>Home</a></nav><article><h1>Old town news of the year</h1>{ARTICLE}<aside>Read also: other story.</aside></article><footer>Imprint</footer>"),
+    page(f"<div id='nav' class='menu'><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></div><div class='article-body'><h1>Old town news of the year</h1>{ARTICLE}</div><div class='comments'><h3>Comments</h3><div class='comment'><p>I liked it.</p></div></div>"),
+    page(f"<form id='page'><nav><a href='/'>Home</a></nav><main><h1>Old town news of the year</h1>{ARTICLE}</main><footer>Imprint</footer></form>"),
+    page(f"<main class='content'><h1>Old town news of the year</h1>{ARTICLE}<form><label>Mail</label><input></form></main><aside class='related'><ul><li><a href='/x'>More</a></li></ul></aside>"),
+]
+
+
+@pytest.mark.parametrize("at", range(len(LAYOUTS)))
+def test_hand_written_layouts(spark, at):
+    """What stands in navigation, asides, footers and forms goes, and every paragraph of the article stays."""
+    df = spark.createDataFrame([(1, "u", LAYOUTS[at])], "page_id long, url string, html string")
+    lines = H.main_text(df).first().text.split("\n")
+    assert lines[-3:] == PARAGRAPHS and set(lines[:-3]) <= {"Old town news of the year"}
+
+
+def test_long_pages_take_time_in_proportion():
+    extractor = H.fit()
+    for n in (2000, 8000):
+        began = time.process_time()
+        extractor.texts(["<article>" + "<p>Some words of an article that goes on.</p>" * n + "</article>"])
+        took = time.process_time() - began
+    assert took < 8
