@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -67,8 +68,15 @@ class Encoder:
 
     def direct(self, text: str) -> bytes:
         """The ids of one text by one call of the library."""
-        ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, "<u4").tobytes()
+        return self.each([text])[0]
+
+    def each(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts by calls of the library for many at a time."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), BATCH_PIECES):
+            made = self.library.encode_batch_fast(texts[at : at + BATCH_PIECES], add_special_tokens=False)
+            out += [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in made)]
+        return out
 
     def _words(self, words: list[str], lead: str) -> list[bytes]:
         """The ids of pieces that are all letters, each with `lead` before it."""
@@ -85,7 +93,7 @@ class Encoder:
                         out.append(raw[4 * start : 4 * end])
                         start = end + 1
                     continue
-            out += map(self.direct, [lead + word for word in some])
+            out += self.each([lead + word for word in some])
         return out
 
     def _learn(self, generations: list[dict], pieces: set[str], fine: bool) -> dict:
@@ -93,17 +101,14 @@ class Encoder:
         if len(generations[0]) > MEMO_PIECES:
             generations[:] = {}, generations[0]
         memo, older = generations
-        new = []
-        for piece in pieces:
-            if piece not in memo:
-                if piece in older:
-                    memo[piece] = older[piece]
-                else:
-                    new.append(piece)
+        new = [piece for piece in pieces if piece not in memo]
+        memo.update((piece, older[piece]) for piece in new if piece in older)
+        new = [piece for piece in new if piece not in older]
         words = [piece for piece in new if _LETTERS(piece)]
         memo.update(zip(words, self._words(words, self.lead), strict=True))
         opening = [piece for piece in new if piece[:1] == "\n" and _LETTERS(piece, 1)]
         memo.update(zip(opening, (self.line + ids for ids in self._words([p[1:] for p in opening], "")), strict=True))
+        rest: dict[str, str] = {}
         for piece in new:
             if piece in memo:
                 continue
@@ -111,7 +116,8 @@ class Encoder:
             if not body or _SPACE(body) or fine and body not in (".", ",") and not body[-1].isalnum():
                 memo[piece] = None
             else:
-                memo[piece] = self.direct(piece if piece[0] == "\n" or fine and piece[0] in ".," else self.lead + piece)
+                rest[piece] = piece if piece[0] == "\n" or fine and piece[0] in ".," else self.lead + piece
+        memo.update(zip(rest, self.each(list(rest.values())), strict=True))
         return memo
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -132,12 +138,16 @@ class Encoder:
                     cut.append((i, first, pieces))
                     new.update(pieces)
             get = self._learn(generations, new, fine).__getitem__
-            for i, first, pieces in cut:
+            for (i, _, pieces), ids in zip(cut, self.each([first for _, first, _ in cut]), strict=True):
                 try:
-                    out[i] = self.direct(first) + b"".join(map(get, pieces))
+                    out[i] = ids + b"".join(map(get, pieces))
                 except TypeError:  # a piece that allows no cut
                     pass
-        return [self.direct(text) if ids is None else ids for text, ids in zip(texts, out, strict=True)]
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(left), 16):  # long texts among them: few at a time
+            for i, ids in zip(left[at : at + 16], self.each([texts[i] for i in left[at : at + 16]]), strict=True):
+                out[i] = ids
+        return out
 
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
