@@ -53,6 +53,8 @@ INDEX = struct.Struct("<B8sQIIQ")
 BLOCK_BYTES = 1 << 16
 SHARD_BYTES = 16 << 20
 BITS_PER_KEY, PROBES = 10, 7
+#: Pieces in one generation of a writing task's memo, which has the worker to itself: some 80 MB.
+MEMO = 400_000
 #: Bytes of ids that a reading task gives at once.
 READ_BYTES = 8 << 20
 MANIFEST = "file string, part long, number long, documents long, ids long, bytes long"
@@ -173,7 +175,7 @@ def write_shards(
 
     def write(batches):
         store, base = pyarrow.fs.FileSystem.from_uri(_uri(folder))
-        ids = encoder(vocabulary or tokenizer_path("byte_bpe_50k.json"), keeps_space)
+        ids = encoder(vocabulary or tokenizer_path("byte_bpe_50k.json"), keeps_space, MEMO)
         part, number, shard = TaskContext.get().partitionId(), 0, ShardWriter()
 
         def close():

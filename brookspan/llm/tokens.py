@@ -45,10 +45,11 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     `keeps_space`: whether the vocabulary has blanks and line feeds in its
-    tokens (byte-level BPE) or drops them (word BPE).
+    tokens (byte-level BPE) or drops them (word BPE).  `kept`: pieces in one
+    generation of a memo, `MEMO_PIECES` by default.
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -56,6 +57,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.kept = kept
         self.lead = " " if keeps_space else ""
         self.line = self.direct("\n")
         #: Words are encoded many at a time, joined by something that is one token of its own beside letters.
@@ -98,7 +100,7 @@ class Encoder:
 
     def _learn(self, generations: list[dict], pieces: set[str], fine: bool) -> dict:
         """The younger generation, with all the pieces in it."""
-        if len(generations[0]) > MEMO_PIECES:
+        if len(generations[0]) > (self.kept or MEMO_PIECES):
             generations[:] = {}, generations[0]
         memo, older = generations
         new = [piece for piece in pieces if piece not in memo]
@@ -150,8 +152,8 @@ class Encoder:
         return out
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, kept: int | None = None) -> Encoder:
     """The worker's encoder for the vocabulary at `path`, made once."""
-    if (key := (path, keeps_space)) not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, keeps_space)
+    if (key := (path, keeps_space, kept)) not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, keeps_space, kept)
     return _ENCODERS[key]
