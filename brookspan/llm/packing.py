@@ -74,13 +74,13 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 def pieces(
     docs: DataFrame, length: int = 4096, vocabulary: str | None = None, keeps_space: bool = False, end_id: int = 2,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000,
 ) -> DataFrame:
     """The encoded documents cut into pieces of at most `length` ids; `row` tells rows of one identifier apart."""
     end = struct.pack("<I", end_id)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = encoder(vocabulary or tokenizer_path("word_bpe_49k.json"), keeps_space)
+        ids = encoder(vocabulary or tokenizer_path("word_bpe_49k.json"), keeps_space, memo)
         columns: list[list] = [[], [], [], [], [], []]
         for doc_id, value, row in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
             value += end
@@ -100,12 +100,14 @@ def pieces(
 
 def pack(
     docs: DataFrame, length: int = 4096, vocabulary: str | None = None, keeps_space: bool = False, end_id: int = 2,
-    group_bytes: int = 8 << 20, seed: int = 3, id_col: str = "doc_id", text_col: str = "text",
+    group_bytes: int = 8 << 20, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset."""
+    """`memo`: pieces of text in one generation of a worker's memo, some 0.2 KB each.
+
+    One row per piece: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset."""
     total, rows = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
     groups = max(1, math.ceil((total or 0) / group_bytes), math.ceil(rows / GROUP_ROWS))
-    cut = pieces(docs, length, vocabulary, keeps_space, end_id, id_col, text_col)
+    cut = pieces(docs, length, vocabulary, keeps_space, end_id, id_col, text_col, memo)
     dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row", "start"), F.lit(groups))).drop("row")
 
     def fill(group: pa.Table) -> pa.Table:
