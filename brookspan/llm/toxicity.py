@@ -1,20 +1,24 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words (letters, lower case) and the first 4, 5 and 6 letters of
-longer words.  The vocabulary holds the `terms` terms whose document frequency
-in the learning sample, copies counted once, depends most on the label
-(chi-square, above `CHI_SQUARE`), and whose examples are toxic at least `LIFT`
-times as often, or as seldom, as the sample.
-The examples' TF-IDF vectors over it are stored in an inverted index in blocks
-of `BLOCK` examples with the largest weight of each term in each block.  A
-query visits the blocks by falling upper bound and stops when no block can hold
-a better neighbour than the `neighbours` found, so the result is exact.
+longer words.  Which terms span the space is fitted with the rest: each pair in
+`spaces` asks for a least dependence on the label (chi-square) and a least lift
+(how many times as often, or as seldom, examples with the term are toxic), and
+the pair with the smallest log loss in cross-validation over the learning
+sample is taken.  (0, 1) is every term of three or more examples.  Terms, their
+weights and neighbours all come from the other folds, so a term that is toxic
+by chance shows as such.
+
+The examples' TF-IDF vectors are stored in an inverted index in blocks of
+`BLOCK` examples with the largest weight of each term in each block.  A query
+visits the blocks by falling upper bound and stops when no block can hold a
+better neighbour than the `neighbours` found, so the result is exact.
 
 The vote is weighted by cosine and by how much each class was thinned in the
-sample, and is smoothed with the prior; isotonic regression on the examples'
-own leave-one-out votes turns it into a probability.  A text without a term of
-the vocabulary has the smoothed rate of such examples.  The nearest examples'
-identifiers are the evidence.
+sample, and is smoothed with the prior; isotonic regression on the votes of the
+held-out folds turns it into a probability.  A text without a term of the space
+has the smoothed rate of such examples.  The nearest examples' identifiers are
+the evidence.
 
 The sample: at most `per_class` labelled rows of each class, in the order of a
 hash of the identifier.  Class counts cover all labelled rows.
@@ -40,8 +44,10 @@ from pyspark.sql import functions as F
 from brookspan.llm.common import mapped, ship, slices, stored, text_or_empty
 
 BLOCK = 64
-#: What a term needs: dependence on the label, and how far the rate of toxic examples with it is from the sample's.
-CHI_SQUARE, LIFT = 30.0, 2.0
+#: Parts of the sample for cross-validation; copies of a text are in one part.
+FOLDS = 4
+#: Spaces to choose from: chi-square, from a chance of 1e-3 a term to far less, and lift.
+SPACES = ((100.0, 2.0), (60.0, 2.0), (32.8, 2.0), (19.5, 2.0), (10.8, 2.0))
 #: Words kept with their terms per worker.
 MEMO = 100_000
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -72,8 +78,7 @@ class Neighbours:
         total = weight.sum()
         self.idf = np.log(1 + total / np.maximum(frequency, 1))
         self.prior = float((toxic * weight).sum() / total) if total else 0.0
-        empty = np.array([not row for row in rows], bool)
-        self.without = float(((toxic * weight)[empty].sum() + self.prior) / (weight[empty].sum() + 1)) if empty.any() else self.prior
+        self.without = self.prior
         vectors = [self._unit(row) for row in rows]
         kept = [i for i in range(len(rows)) if rows[i]]
         kept.sort(key=lambda i: (min(vectors[i], key=lambda p: -vectors[i][p]), int(ids[i])))  # alike in a block
@@ -93,9 +98,10 @@ class Neighbours:
             self.starts.append(np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK))
             np.maximum.at(self.most[term], at // BLOCK, values)
         self.steps = (np.zeros(1), np.zeros(1))
-        if kept:
-            votes = np.array([self._vote(vectors[i], skip=place)[0] for place, i in enumerate(kept)])
-            self.steps = isotonic(votes, self.toxic, self.weight)
+
+    def vote(self, counts: dict[int, int]) -> float:
+        """The vote of the neighbours; not a number where there are none."""
+        return self._vote(self._unit(counts))[0] if counts and len(self.ids) else np.nan
 
     def _unit(self, counts: dict[int, int]) -> dict[int, float]:
         values = {p: (1 + np.log(n)) * self.idf[p] for p, n in counts.items()}
@@ -141,6 +147,64 @@ class Neighbours:
         return min(1.0, max(0.0, value)), [int(self.ids[place]) for _, place in found[:5]]
 
 
+def dependence(a, b, bad, good):
+    """Chi-square of a term that `a` of the `bad` and `b` of the `good` examples have; for arrays and columns."""
+    cross = a * (good - b) - b * (bad - a)
+    return (bad + good) * cross * cross / ((a + b) * (bad + good - a - b) * bad * good + 1e-9)
+
+
+def in_space(space: tuple[float, float], a: np.ndarray, b: np.ndarray, bad: float, good: float) -> np.ndarray:
+    """Which terms the space holds: those of three examples or more that pass both bounds."""
+    chi, lift = space
+    rate, other = a * (bad + good), bad * (a + b)
+    return (a + b >= 3) & (a + b < bad + good) & (dependence(a, b, bad, good) >= chi) & ((rate >= lift * other) | (rate * lift <= other))
+
+
+def calibrated(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, prior: float):
+    """From votes of held-out examples (not a number: no neighbour): the steps, the rate without neighbours, and the log loss."""
+    none = np.isnan(votes)
+    without = float(((toxic * weight)[none].sum() + prior) / (weight[none].sum() + 1))
+    steps = isotonic(votes[~none], toxic[~none], weight[~none]) if not none.all() else (np.zeros(1), np.zeros(1))
+    chance = np.where(none, without, np.interp(votes, *steps) if len(steps[0]) > 1 else prior)
+    chance = np.clip(chance, 1e-4, 1 - 1e-4)
+    return steps, without, float(-(weight * np.where(toxic > 0, np.log(chance), np.log(1 - chance))).sum() / weight.sum())
+
+
+def cross_validated(
+    vocabulary: list[str], folded: np.ndarray, ids: np.ndarray, rows: list[dict[int, int]], toxic: np.ndarray, weight: np.ndarray, fold: np.ndarray, k: int, spaces: tuple,
+) -> Neighbours:
+    """The index over the space of smallest loss.  folded: examples with each term by class (0, 1) and fold."""
+
+    def over(space: tuple[float, float], left_out: int) -> tuple[Neighbours, dict[int, int]]:
+        others = np.arange(FOLDS) != left_out
+        chosen = fold != left_out
+        bad, good = float((toxic[chosen] > 0).sum()), float((toxic[chosen] == 0).sum())
+        held = in_space(space, folded[:, 1, others].sum(1), folded[:, 0, others].sum(1), bad, good)
+        place = {int(p): n for n, p in enumerate(np.flatnonzero(held))}
+        inside = [within(rows[i], place) for i in np.flatnonzero(chosen)]
+        return Neighbours([vocabulary[p] for p in place], ids[chosen], inside, toxic[chosen], weight[chosen], k), place
+
+    best: tuple | None = None
+    for space in spaces:
+        votes = np.full(len(rows), np.nan)
+        for part in range(FOLDS):
+            model, place = over(space, part)
+            for i in np.flatnonzero(fold == part).tolist():
+                votes[i] = model.vote(within(rows[i], place))
+        prior = float((toxic * weight).sum() / weight.sum()) if len(rows) else 0.0
+        steps, without, loss = calibrated(votes, toxic, weight, prior) if len(rows) else ((np.zeros(1), np.zeros(1)), 0.0, 0.0)
+        if best is None or loss < best[0]:
+            best = loss, space, steps, without
+    model, _ = over(best[1], -1)
+    model.loss, model.space, model.steps, model.without = best
+    return model
+
+
+def within(counts: dict[int, int], place: dict[int, int]) -> dict[int, int]:
+    """The counts of the terms that `place` knows, by their new place."""
+    return {place[p]: n for p, n in counts.items() if p in place}
+
+
 def isotonic(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of a non-decreasing map from vote to probability, by pooling adjacent violators."""
     order = np.argsort(votes, kind="stable")
@@ -157,7 +221,7 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple
     return np.array(at), np.array(value)
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int, terms: int, neighbours: int, seed: int) -> Neighbours:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int, terms: int, neighbours: int, seed: int, spaces: tuple = SPACES) -> Neighbours:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1), those to learn from, one row an identifier."""
     spark = docs.sparkSession
     ship(spark)
@@ -168,44 +232,49 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int, terms: int, neighb
         docs.join(F.broadcast(bad_ones.unionByName(good_ones)), "doc_id")
         .groupBy("toxic", F.md5("text").alias("_md5"))  # a text that is copied counts once, as its smallest identifier
         .agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-        .select("doc_id", "toxic", "text")
+        .select("doc_id", "toxic", "text", (F.crc32("_md5") % FOLDS).cast("int").alias("fold"))
     )
     sample = stored(sample, "toxicity-sample")
 
     def frequencies(batches):
         for batch in slices(batches, 2048, 64 << 20):
-            found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found[toxic].update({t for word in word_counts(text) for t in terms_of(word)})
-            rows = [(t, found[1][t], found[0][t]) for t in found[0] | found[1]]
-            if rows:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True))), ["term", "bad", "good"])
-
-    sizes = {row["toxic"]: row["n"] for row in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    table = sample.mapInArrow(frequencies, "term string, bad long, good long").groupBy("term").agg(
-        F.sum("bad").cast("double").alias("a"), F.sum("good").cast("double").alias("b")
+            found: Counter = Counter()
+            for toxic, text, fold in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                found.update((t, toxic, fold) for t in {t for word in word_counts(text) for t in terms_of(word)})
+            if found:
+                columns = [*zip(*found, strict=True), found.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in columns], ["term", "toxic", "fold", "n"])
+
+    cells = [(c, f) for c in (0, 1) for f in range(FOLDS)]
+    sizes = {(r["toxic"], r["fold"]): r["n"] for r in sample.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    table = sample.mapInArrow(frequencies, "term string, toxic long, fold long, n long").groupBy("term").agg(
+        *[F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).cast("double").alias(f"n{c}{f}") for c, f in cells]
     )
-    n = bad + good
-    a, b = F.col("a"), F.col("b")
-    spread = n * (a * (good - b) - b * (bad - a)) * (a * (good - b) - b * (bad - a))
-    chi = spread / ((a + b) * (n - a - b) * bad * good)
-    useful = table.where((a + b >= 3) & (a + b < n)).withColumn("chi", chi).where(F.col("chi") > CHI_SQUARE)
-    useful = useful.where((a * n >= LIFT * bad * (a + b)) | (a * n * LIFT <= bad * (a + b)))
-    vocabulary = [r["term"] for r in useful.orderBy(F.desc("chi"), "term").limit(terms).collect()] if bad and good else []
+
+    def chi(left_out: int):
+        a, b = (sum((F.col(f"n{c}{f}") for f in range(FOLDS) if f != left_out), F.lit(0.0)) for c in (1, 0))
+        return dependence(a, b, *(F.lit(float(sum(n for (c, f), n in sizes.items() if c == which and f != left_out))) for which in (1, 0)))
+
+    strongest = F.greatest(*[chi(f) for f in range(-1, FOLDS)])
+    seen = sum((F.col(f"n{c}{f}") for c, f in cells), F.lit(0.0))
+    useful = table.where(seen >= 3).withColumn("chi", strongest).where(F.col("chi") >= min(c for c, _ in spaces))
+    found = useful.orderBy(F.desc("chi"), "term").limit(terms).collect()
+    vocabulary = [r["term"] for r in found]
+    folded = np.array([[[r[f"n{c}{f}"] for f in range(FOLDS)] for c in (0, 1)] for r in found]).reshape(-1, 2, FOLDS)
     places = spark.sparkContext.broadcast({term: i for i, term in enumerate(vocabulary)})
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [in_vocabulary(text, places.value, {}) for text in batch.column(2).to_pylist()]
         lists = [pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", "places", "counts"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *lists], ["doc_id", "toxic", "fold", "places", "counts"])
 
-    rows = mapped(sample, vectors, "doc_id long, toxic int, places array<int>, counts array<int>").collect()
+    rows = mapped(sample, vectors, "doc_id long, toxic int, fold int, places array<int>, counts array<int>").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    weight = np.array([counts[r["toxic"]] / sizes[r["toxic"]] for r in rows])
-    return Neighbours(
-        vocabulary, np.array([r["doc_id"] for r in rows], np.int64), [dict(zip(r["places"], r["counts"], strict=True)) for r in rows],
-        np.array([r["toxic"] for r in rows], float), weight, neighbours,
+    held = {c: sum(n for (which, _), n in sizes.items() if which == c) for c in (0, 1)}
+    return cross_validated(
+        vocabulary, folded, np.array([r["doc_id"] for r in rows], np.int64), [dict(zip(r["places"], r["counts"], strict=True)) for r in rows],
+        np.array([r["toxic"] for r in rows], float), np.array([counts[r["toxic"]] / held[r["toxic"]] for r in rows]), np.array([r["fold"] for r in rows], np.int64),
+        neighbours, spaces,
     )
 
 
@@ -235,7 +304,7 @@ def fitted(docs: DataFrame, labels: DataFrame, learning: Column, per_class: int,
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, learning: Column, per_class: int = 2500, terms: int = 512, neighbours: int = 15,
+    docs: DataFrame, labels: DataFrame, learning: Column, per_class: int = 2500, terms: int = 4096, neighbours: int = 15,
     threshold: float = 0.3, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> DataFrame:
     """doc_id, score, predicted, evidence.  learning: a condition on doc_id, which labels may be learned from."""
@@ -254,7 +323,7 @@ def score_toxicity(
 
 
 def without_toxic(
-    docs: DataFrame, labels: DataFrame, learning: Column, per_class: int = 2500, terms: int = 512, neighbours: int = 15,
+    docs: DataFrame, labels: DataFrame, learning: Column, per_class: int = 2500, terms: int = 4096, neighbours: int = 15,
     threshold: float = 0.3, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> DataFrame:
     """The rows of `docs` that score below the threshold, with their own columns; no row is moved for it."""

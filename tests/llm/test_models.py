@@ -78,6 +78,23 @@ def test_toxic_terms_beside_stronger_ones_have_neighbours(spark):
     assert all(found[i].predicted and found[i].evidence for i in (900, 901, 902)) and not found[903].predicted
 
 
+def test_labels_outside_the_learning_rows_change_nothing(spark):
+    docs, labels = toxic_table(spark)
+    learning = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    turned = labels.withColumn("toxic", F.when(learning, F.col("toxic")).otherwise(1 - F.col("toxic")))
+    a, b = ({(r.doc_id, r.score) for r in X.score_toxicity(docs, x, learning).collect()} for x in (labels, turned))
+    assert a == b
+
+
+def test_labels_by_chance_give_scores_near_their_rate(spark):
+    source = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bcdfglm" for b in "aeiou" for c in "nrst"]
+    rows = [(i, " ".join(source.choice(words) for _ in range(30)), int(source.random() < 0.15)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = X.score_toxicity(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"), F.lit(True)).collect()
+    assert np.mean([r.predicted for r in found]) < 0.05 and abs(np.mean([r.score for r in found]) - 0.15) < 0.05
+
+
 def test_block_bounds_keep_the_neighbours_exact():
     random_ = np.random.default_rng(4)
     rows = [{int(p): int(random_.integers(1, 5)) for p in random_.choice(40, random_.integers(0, 6), replace=False)} for _ in range(700)]
