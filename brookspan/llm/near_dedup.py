@@ -18,10 +18,12 @@
    copies cost one confirmation a member rather than one a pair.
 4. Links are confirmed on the two texts' whole sets.  In the first step the texts
    are sent to tasks that stream the partners of one text at a time; in the
-   second the sets (48 bits of each hash) go with the members of the parts.
+   second the sets go with the members of the parts.
 5. Components come from alternating large-star and small-star steps on tables in
    the shared folder, none of which reaches the driver.
 
+A low threshold needs many bands, and as many as it needs are used.
+
 Nulls: a null text is empty.  A text without words has an empty set and is
 linked with nothing.  A row with a null identifier keeps a null component and is
 not kept, but `without_near_duplicates` numbers such rows.  An empty table gives an empty result; other columns are ignored.
@@ -29,6 +31,7 @@ not kept, but `without_near_duplicates` numbers such rows.  An empty table gives
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -42,8 +45,6 @@ from brookspan.llm.common import fresh_name, mapped, ship, slices, stored, text_
 BAND = 2
 #: Probability with which a pair at the threshold may share no band, and with which its sketches may agree too seldom.
 MISSED, UNLIKE = 1e-5, 1e-6
-#: Permutations there can be; as many are used as the threshold needs.
-MOST = 512
 CHUNK = 1024
 #: Shingles that count as one member of a part.
 SHINGLES = 1500
@@ -51,15 +52,12 @@ SHINGLES = 1500
 PARTNERS = 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_random = np.random.default_rng(9)
-_A = _random.integers(1 << 62, 1 << 64, MOST, dtype=np.uint64, endpoint=False) | np.uint64(1)
-_B = _random.integers(0, 1 << 64, MOST, dtype=np.uint64, endpoint=False)
 
 
 def bands_for(percent: int) -> int:
     """How many bands two sets at the threshold need."""
     shared = (percent / 100) ** (2 * BAND)
-    return min(MOST // BAND, max(1, math.ceil(math.log(MISSED) / math.log1p(-shared)))) if percent < 100 else 1
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-shared))) if percent < 100 else 1
 
 
 def agreeing_for(percent: int) -> int:
@@ -94,12 +92,20 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
+@functools.cache
+def _factors(permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    """The odd factors and the summands of the linear permutations, as columns."""
+    factors = np.random.default_rng(9).integers(1 << 62, 1 << 64, permutations, dtype=np.uint64, endpoint=False) | np.uint64(1)
+    return factors[:, None], np.random.default_rng(10).integers(0, 1 << 64, permutations, dtype=np.uint64, endpoint=False)[:, None]
+
+
 def signature(values: np.ndarray, permutations: int) -> tuple[np.ndarray, np.ndarray]:
     """Minimum and maximum of the set under each permutation."""
+    factors, summands = _factors(permutations)
     low = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
     high = np.zeros(permutations, np.uint64)
     for at in range(0, len(values), 4096):
-        seen = values[at : at + 4096] * _A[:permutations, None] + _B[:permutations, None]
+        seen = values[at : at + 4096] * factors + summands
         low = np.minimum(low, seen.min(axis=1))
         high = np.maximum(high, seen.max(axis=1))
     return low, high
@@ -197,17 +203,6 @@ def first_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(pair, "a long, b long").distinct()
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Sorted hashes cut to their upper 48 bits."""
-    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def _unpacked(ids: bytes) -> np.ndarray:
-    out = np.zeros((len(ids) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(ids, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def crossing_links(members: DataFrame, percent: int) -> DataFrame:
     """members: key, left, right, side, rep, n_shingles, sketch, component, bands, ids.
 
@@ -251,7 +246,7 @@ def crossing_links(members: DataFrame, percent: int) -> DataFrame:
                         continue
                     for k in (i, j):
                         if k not in sets:
-                            sets[k] = _unpacked(ids[k].as_py())
+                            sets[k] = np.frombuffer(ids[k].as_py(), np.uint64)
                     common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                         joined[max(p, q)] = min(p, q)
@@ -264,10 +259,10 @@ def crossing_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def shingle_ids(docs: DataFrame, words: int) -> DataFrame:
-    """docs: doc_id, text.  rep and ids, the packed set, of each row."""
+    """docs: doc_id, text.  rep and ids, the sorted 64-bit hashes of the set, of each row."""
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_packed(shingles(text, words)) for text in batch.column(1).to_pylist()]
+        sets = [shingles(text, words).tobytes() for text in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "ids"])
 
     return mapped(docs.select("doc_id", "text"), describe, "rep long, ids binary")

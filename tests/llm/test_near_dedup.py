@@ -65,6 +65,7 @@ def test_minimum_and_maximum_estimate_the_similarity():
 
 def test_bands_for_thresholds():
     assert N.bands_for(85) == 16 and N.bands_for(80) > N.bands_for(85) and N.agreeing_for(85) < 0.85 * 64
+    assert (1 - 0.3**4) ** N.bands_for(30) <= N.MISSED
 
 
 @pytest.mark.parametrize("percent", [50, 80, 85, 95, 99])
