@@ -360,6 +360,111 @@ def reduce_by_key(df: DataFrame, keys: list[str], function: Callable[[dict, dict
     return _run(df, keys, Reduce(function, df.columns, seq, _kinds(df.schema)), df.schema, "append")
 
 
+_JSON = T.StructType([T.StructField("json", T.StringType())])
+
+
+class ValueCell:
+    """One value of a key, anything that JSON can hold."""
+
+    def __init__(self, handle, name: str, ttl_ms: int | None):
+        self.state = handle.getValueState(name, _JSON, ttl_ms)
+
+    def get(self, default=None):
+        return json.loads(self.state.get()[0]) if self.state.exists() else default
+
+    def set(self, value) -> None:
+        self.state.update((json.dumps(value),))
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+class ListCells:
+    """A list of a key; an addition reads nothing."""
+
+    def __init__(self, handle, name: str, ttl_ms: int | None):
+        self.state = handle.getListState(name, _JSON, ttl_ms)
+
+    def add(self, value) -> None:
+        self.state.appendValue((json.dumps(value),))
+
+    def all(self) -> list:
+        return [json.loads(text) for (text,) in self.state.get()] if self.state.exists() else []
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+class MapCells:
+    """A map of a key; only the entries that are asked for are read or written."""
+
+    def __init__(self, handle, name: str, ttl_ms: int | None):
+        self.state = handle.getMapState(name, _JSON, _JSON, ttl_ms)
+
+    def get(self, key, default=None):
+        at = (json.dumps(key),)
+        return json.loads(self.state.getValue(at)[0]) if self.state.containsKey(at) else default
+
+    def put(self, key, value) -> None:
+        self.state.updateValue((json.dumps(key),), (json.dumps(value),))
+
+    def remove(self, key) -> None:
+        self.state.removeKey((json.dumps(key),))
+
+    def items(self) -> list[tuple]:
+        return [(json.loads(k), json.loads(v)) for (k,), (v,) in self.state.iterator()] if self.state.exists() else []
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+CELLS = {"value": ValueCell, "list": ListCells, "map": MapCells}
+
+
+class Process(Keyed):
+    """A user function of one input with named state and timers.
+
+    function(key, row, state, timers) and on_timer(key, time_ms, state, timers)
+    give lists of rows; key is a tuple, state maps the declared names to their
+    cells, timers has `register(ms)` and `delete(ms)`.
+    """
+
+    def __init__(self, function, on_timer, state: dict[str, str], ttl_ms: int | None, *rest):
+        super().__init__(*rest)
+        self.function, self.on_timer, self.declared, self.ttl_ms = function, on_timer, state, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cells = {name: CELLS[kind](handle, name, self.ttl_ms) for name, kind in self.declared.items()}
+        self.timers = Timers(handle)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows), ignore_index=True)
+        if self.seq:
+            frame = frame.sort_values(self.seq, kind="stable")
+        out = []
+        for values in frame[self.columns].itertuples(index=False):
+            row = {c: _plain(v) for c, v in zip(self.columns, values, strict=True)}
+            out += self.function(key, row, self.cells, self.timers) or []
+        yield self.frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        yield self.frame(key, (self.on_timer(key, at, self.cells, self.timers) or []) if self.on_timer else [])
+
+
+def process(
+    df: DataFrame, keys: list[str], function: Callable, schema: T.StructType, state: dict[str, str], on_timer: Callable | None = None,
+    time_mode: str = "none", ttl_ms: int | None = None, seq: str | None = None,
+) -> DataFrame:
+    """state: name -> `value`, `list` or `map`; time_mode: `EventTime` or `ProcessingTime` where timers are used.
+
+    With `ttl_ms`, state that was not written for so long goes, by the clock of `ProcessingTime`.
+    """
+    if ttl_ms is not None and time_mode.lower() != "processingtime":
+        raise ValueError("state expires by processing time only")
+    return _run(df, keys, Process(function, on_timer, state, ttl_ms, df.columns, seq, _kinds(schema)), schema, "append", time_mode)
+
+
 class CoProcess(StatefulProcessor):
     """A user function of two tagged inputs with shared state and timers.
 

@@ -97,6 +97,50 @@ def test_co_process_shares_state(spark, folder, tmp_path):
     assert most == {0: (12, 12), 1: (0, 12), 2: (12, 0), 3: (0, 12), 4: (12, 0)}
 
 
+def test_process_holds_value_list_and_map_state(spark, folder, tmp_path):
+    path, schema = folder
+
+    def function(key, row, state, timers):
+        state["n"].set(state["n"].get(0) + 1)
+        state["seen"].add(row["seq"])
+        state["by_s"].put(row["s"], state["by_s"].get(row["s"], 0) + 1)
+        if row["s"] == "t2":
+            state["by_s"].remove("t2")
+        return [{"k": key[0], "n": state["n"].get(), "seen": sum(state["seen"].all()), "squares": sum(n * n for _, n in state["by_s"].items())}]
+
+    out = T.StructType.fromDDL("k long, n long, seen long, squares long")
+    stream = processors.process(stream_of(spark, path, schema), ["k"], function, out, {"n": "value", "seen": "list", "by_s": "map"}, seq="seq")
+    last = {r.k: (r.n, r.seen, r.squares) for r in collected(stream, str(tmp_path / "c"), "append").orderBy("n").collect()}
+    kinds = spark.read.parquet(path).groupBy("k", "s").agg(F.count("*").alias("n"), F.sum("seq").alias("seen"))
+    kinds = kinds.groupBy("k").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum(F.expr("if(s = 't2', 0, n * n)")).alias("squares"))
+    assert last == {r.k: (r.n, r.seen, r.squares) for r in kinds.collect()}
+
+
+def test_event_timers_fire_when_the_watermark_passes(spark, tmp_path):
+    for rows in ([(1, 1), (2, 5)], [(1, 3)], [(9, 10**6)]):
+        made = spark.createDataFrame(rows, "k long, s long").withColumn("t", F.timestamp_seconds("s"))
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def function(key, row, state, timers):
+        if (due := state["due"].get()) is not None:
+            timers.delete(due)
+        timers.register(row["s"] * 1000 + 10_000)
+        state["due"].set(row["s"] * 1000 + 10_000)
+        state["n"].set(state["n"].get(0) + 1)
+
+    def on_timer(key, at, state, timers):
+        n = state["n"].get()
+        state["n"].clear()
+        return [{"k": key[0], "at": at, "n": n}]
+
+    stream = windows.watermark(stream_of(spark, str(tmp_path / "in"), "k long, s long, t timestamp"), "t", "5 seconds")
+    out = T.StructType.fromDDL("k long, at long, n long")
+    stream = processors.process(stream, ["k"], function, out, {"due": "value", "n": "value"}, on_timer, "EventTime", seq="s")
+    assert {tuple(r) for r in collected(stream, str(tmp_path / "c"), "append").collect()} == {(1, 13_000, 2), (2, 15_000, 1)}
+    with pytest.raises(ValueError):
+        processors.process(stream, ["k"], function, out, {"n": "value"}, ttl_ms=1000)
+
+
 def test_windows_with_watermark_equal_the_batch(spark, tmp_path):
     rows = spark.range(40).select(F.timestamp_seconds(F.col("id") * 7).cast("timestamp_ntz").alias("t"), (F.col("id") % 2).alias("k"))
     end = spark.range(1).select(F.timestamp_seconds(F.lit(10**6)).cast("timestamp_ntz").alias("t"), F.lit(9).cast("long").alias("k"))
