@@ -9,8 +9,9 @@ M-tree: pages of at most `page` entries; an entry of an inner page has a
 routing object, the covering radius of its subtree, its distance to the page's
 own routing object, and a child page; a leaf's entries are vectors with their
 distance to the page's routing object.  Copies of a vector inside a shard are
-one entry that keeps the `k` + 1 smallest identifiers, which is all that a
-result can need.  Pages are rows of a table in the shared folder.
+one entry that keeps the smallest identifiers, so many that `k` are left
+without any one of them, which is all that a result can need.  Pages are rows
+of a table in the shared folder.
 
 A query goes through a tree best first.  With the distance from the query to a
 page's routing object known, |d(q, parent) - d(entry, parent)| bounds the
@@ -177,9 +178,12 @@ def top_k(
         order = np.argsort(ids, kind="stable")
         distinct, of = np.unique(matrix[order], axis=0, return_inverse=True) if size else (matrix[:1], np.zeros(len(ids), int))
         named: list[list[int]] = [[] for _ in range(len(distinct))]
+        most = [0] * len(distinct)  # rows of the most frequent identifier among those kept
         for i, d in zip(ids[order].tolist(), np.ravel(of).tolist(), strict=True):
-            if len(named[d]) <= k:
+            same = named[d].count(i)
+            if same < k and len(named[d]) - most[d] < k:
                 named[d].append(i)
+                most[d] = max(most[d], same + 1)
         tree = Tree.build(distinct, named, lift, page)
         rows = [
             {"size": size, "shard": shard, "page": n, "leaf": p["leaf"], "objects": p["objects"].astype("<i8").tobytes(), "ids": p["ids"],
@@ -199,7 +203,8 @@ def top_k(
     questions = asked.withColumnRenamed("size", "q_size").join(trees, "q_size").select(
         "q_size", "q_shard", F.col("block").alias("q_block"), F.col("vec_id").alias("q_id"), F.col("v").alias("q")
     )
-    copies = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # a long as the questions' block is: the two sides meet by hash, and an int hashes otherwise
+    copies = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []

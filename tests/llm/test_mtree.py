@@ -27,6 +27,32 @@ def test_equals_all_pairs(spark, shard, page):
     assert M.top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_many_partitions_and_repeated_identifiers(spark):
+    """Blocks of queries meet every shard wherever the two are dealt; a query's own repeated rows hide no other copy."""
+    random = np.random.default_rng(1)
+    rows = [(i, random.normal(size=4).tolist()) for i in range(200)]
+    rows += [(200, rows[0][1])] * 9 + [(i, rows[0][1]) for i in range(201, 209)] + [(207, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        found = M.top_k(df, F.col("vec_id").isin(5, 60, 115, 200), k=4, shard_rows=70, page=8, block_queries=1)
+        found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    asked = sorted(set(rows_of(rows, {5, 60, 115, 200}, 4)))
+    assert found == asked
+
+
+def rows_of(rows, asked, k):
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    for q in asked:
+        scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for p, a in whole if p == q for i, b in whole if i != q)
+        yield from ((q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k]))
+
+
 def test_bounds_avoid_computations():
     random = np.random.default_rng(0)
     rows = np.unique((random.normal(size=(20, 4))[random.integers(0, 20, 4000)] * 500 + random.normal(size=(4000, 4)) * 10).astype(np.int64), axis=0)
