@@ -13,11 +13,13 @@ one entry that keeps the smallest identifiers, so many that `k` are left
 without any one of them, which is all that a result can need.  Pages are rows
 of a table in the shared folder.
 
-A query goes through a tree best first.  With the distance from the query to a
+A block of queries goes through a tree best first.  With the distance from the query to a
 page's routing object known, |d(q, parent) - d(entry, parent)| bounds the
 distance to an entry, less its radius, before anything is computed; only
 entries within the distance of the k-th result so far are computed.  Bounds
-allow for rounding, and scores are integers, so the result is exact.
+allow for rounding, and scores are integers, so the result is exact.  Lifted vectors have
+one length, so a distance comes from the score itself, by one matrix product for
+all queries that read a page.
 
 Queries meet shards in blocks; each pair of a block and a shard is a task of
 bounded size, and the best k of each are merged by rank.
@@ -42,6 +44,8 @@ from pyspark.sql import functions as F
 from brookspan.llm.common import ship, stored
 
 PAGE = "size int, shard long, page int, leaf boolean, objects binary, ids array<array<long>>, radii array<double>, near array<double>, children array<int>, lift double"
+#: The score of a place that is not taken.
+NONE = -(1 << 63) + 1
 
 
 class Tree:
@@ -101,47 +105,76 @@ class Tree:
             p["children"] = [c + 1 for c in p["children"]]
         return cls(pages)
 
-    def search(self, query: np.ndarray, query_id: int, k: int, lift: float, best: list | None = None) -> list[tuple[int, int]]:
-        """The k highest (score, id), ties to the smaller id."""
-        target = np.append(query.astype(float), 0.0)
-        slack = 1e-7 * (1 + math.sqrt(lift) + float(np.linalg.norm(target)))
-        own = float((query.astype(float) ** 2).sum())
-        found: list[tuple[int, int]] = best or []  # heap of (score, -id): the worst first
-        queue = [(0.0, 0, None)]
-        limit = math.inf
+    def search(self, query: np.ndarray, query_id: int, k: int, lift: float) -> list[tuple[int, int]]:
+        """The k highest (score, id) of one query, ties to the smaller id."""
+        scores, ids = self.search_block(query[None, :], np.array([query_id]), k, lift)
+        return [(s, i) for s, i in zip(scores[0].tolist(), ids[0].tolist(), strict=True) if s > NONE]
+
+    def search_block(self, queries: np.ndarray, query_ids: np.ndarray, k: int, lift: float) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best of each query, best first, ties to the smaller id; scores are `NONE` beyond the last.
+
+        A page is read once for all queries that may find something in it; pages come by the least bound of any query.
+        """
+        own = (queries.astype(float) ** 2).sum(axis=1)
+        norms = np.sqrt(own)
+        slack = 1e-6 * (1 + math.sqrt(lift) + norms)
+        exact = float(norms.max(initial=0.0)) * math.sqrt(lift) < 1 << 52  # sums of doubles are integers then
+        columns = (queries.astype(float) if exact else queries).T
+        scores = np.full((len(queries), k), NONE, np.int64)
+        ids = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
+        limit = np.full(len(queries), math.inf)
+        queue = [(0.0, 0, np.arange(len(queries)), np.zeros(len(queries)), None)]
         while queue:
-            bound, number, to_parent = heapq.heappop(queue)
-            if bound > limit:
-                break
+            _, number, at, low, to_parent = heapq.heappop(queue)
+            near_enough = low <= limit[at]
+            if not near_enough.any():
+                continue
+            at = at[near_enough]
             p = self.pages[number]
-            if "points" not in p:
-                p["points"] = lifted(p["objects"], lift)
-            at = np.arange(len(p["near"]))
-            if to_parent is not None and limit < math.inf:  # without computing a distance
-                at = at[np.abs(to_parent - p["near"]) - p["radii"] <= limit + slack]
-            if not len(at):
+            if "numbers" not in p:
+                p["numbers"] = p["objects"].astype(float) if exact else p["objects"]
+            if to_parent is None:
+                open_ = np.ones((len(at), len(p["near"])), bool)
+            else:  # without computing a distance
+                gap = np.abs(to_parent[near_enough][:, None] - p["near"]) - p["radii"]
+                open_ = gap <= (limit + slack)[at][:, None]
+            entries = np.flatnonzero(open_.any(axis=0))
+            if not len(entries):
                 continue
+            found = np.asarray(p["numbers"][entries] @ columns[:, at]).T
+            open_ = open_[:, entries]
             if p["leaf"]:
-                scores = p["objects"][at] @ query
-                for i, score in zip(at.tolist(), scores.tolist(), strict=True):
-                    for vec_id in p["ids"][i]:
-                        if vec_id == query_id:
-                            continue
-                        if len(found) < k:
-                            heapq.heappush(found, (score, -vec_id))
-                        elif (score, -vec_id) > found[0]:
-                            heapq.heapreplace(found, (score, -vec_id))
-                        else:
-                            break
-                if len(found) == k:
-                    limit = math.sqrt(max(0.0, own + lift - 2 * found[0][0])) + slack
+                named = [p["ids"][e] for e in entries.tolist()]
+                of = np.repeat(np.arange(len(entries)), [len(x) for x in named])
+                new_ids = np.array([i for x in named for i in x], np.int64)
+                open_ &= found >= scores[at, -1][:, None]
+                open_ = open_[:, of] & (new_ids != query_ids[at][:, None])
+                better = np.flatnonzero(open_.any(axis=1))
+                if not len(better):
+                    continue
+                rows, open_ = at[better], open_[better]
+                some = np.flatnonzero(open_.any(axis=0))
+                open_ = open_[:, some]
+                new = np.where(open_, found[better][:, of[some]].astype(np.int64), NONE)
+                all_scores = np.concatenate([scores[rows], new], axis=1)
+                all_ids = np.concatenate([ids[rows], np.broadcast_to(new_ids[some], new.shape)], axis=1)
+                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+                scores[rows] = np.take_along_axis(all_scores, order, axis=1)
+                ids[rows] = np.take_along_axis(all_ids, order, axis=1)
+                worst = scores[rows, -1]
+                reach = np.sqrt(np.maximum(0.0, own[rows] + lift - 2.0 * worst)) + slack[rows]
+                limit[rows] = np.where(worst > NONE, reach, math.inf)
             else:
-                distance = np.sqrt(((p["points"][at] - target) ** 2).sum(axis=1))
-                for i, d in zip(at.tolist(), distance.tolist(), strict=True):
-                    low = max(0.0, d - float(p["radii"][i]) - slack)
-                    if low <= limit:
-                        heapq.heappush(queue, (low, p["children"][i], d))
-        return [(score, -negative) for score, negative in sorted(found, reverse=True)]
+                # all lifted vectors are as long as the longest, so the score gives the distance
+                distance = np.sqrt(np.maximum(0.0, own[at][:, None] + lift - 2.0 * found))
+                bound = np.maximum(0.0, distance - p["radii"][entries] - slack[at][:, None])
+                open_ &= bound <= limit[at][:, None]
+                for j, e in enumerate(entries.tolist()):
+                    on = np.flatnonzero(open_[:, j])
+                    if len(on):
+                        lows = bound[on, j]
+                        heapq.heappush(queue, (float(lows.min()), p["children"][e], at[on], lows, distance[on, j]))
+        return scores, ids
 
 
 def lifted(vectors: np.ndarray, lift: float) -> np.ndarray:
@@ -207,17 +240,19 @@ def top_k(
     copies = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list = [(), (), ()]
         if left.num_rows and right.num_rows:
             rows = sorted(left.to_pylist(), key=lambda r: r["page"])
             for r in rows:
                 r["objects"] = np.frombuffer(r["objects"], "<i8").reshape(-1, r["size"]) if r["size"] else np.zeros((len(r["near"]), 0), np.int64)
                 r["near"], r["radii"] = np.array(r["near"]), np.array(r["radii"])
             tree = Tree(rows)
-            for query_id, v in zip(right.column("q_id").to_pylist(), right.column("q").to_pylist(), strict=True):
-                out += [(query_id, vec_id, score) for score, vec_id in tree.search(np.array(v, np.int64), query_id, k, lift)]
-        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+            asked = right.column("q_id").to_numpy()
+            vectors = right.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            scores, ids = tree.search_block(vectors.reshape(len(asked), rows[0]["size"]), asked, k, lift)
+            at, rank = np.nonzero(scores > NONE)
+            out = [asked[at], ids[at, rank], scores[at, rank]]
+        return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
     here = copies.groupBy("size", "shard", "block")
     found = here.cogroup(questions.groupBy("q_size", "q_shard", "q_block")).applyInArrow(search, "query_id long, vec_id long, score long")
