@@ -160,3 +160,16 @@ def test_running_reduction_of_a_user_function(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("b", 1, 1)], "k string, s int, v int")
     found = aggregation.reduce_running(df, ["k"], ["s"], lambda x, y: {**y, "v": x["v"] + y["v"]})
     assert rows(found) == [("a", 1, 5), ("a", 2, 12), ("b", 1, 1)]
+
+
+@pytest.mark.parametrize(("how", "null_safe"), [("left", False), ("inner", True), ("right", False)])
+def test_pairs_of_frequent_keys_are_spread(spark, how, null_safe):
+    """Small tables of one split each: the pairs of their few keys come from many tasks."""
+    left = spark.range(0, 600, 1, 1).select(F.col("id").alias("x"), F.expr("nullif(id % 3, 0)").alias("a"))
+    right = spark.range(0, 90, 1, 1).select(F.col("id").alias("y"), F.expr("nullif(id % 3, 0)").alias("b"))
+    if how == "right":
+        left, right = left.where("x < 90"), right.crossJoin(spark.range(0, 5, 1, 1).select("id"))
+    joined = joins.join(left, right, [("a", "b")], how, null_safe=null_safe)
+    equal = left.a.eqNullSafe(right.b) if null_safe else left.a == right.b
+    assert rows(joined) == rows(left.join(right, equal, how))
+    assert joined.select(F.spark_partition_id()).distinct().count() >= 4
