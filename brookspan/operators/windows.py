@@ -2,7 +2,10 @@
 
 Hopping and cumulating aggregation shares slices: rows are first aggregated by
 the largest time span that divides both size and slide, and only those partial
-results are copied into their windows, so a row is never copied itself.
+results are copied into their windows, so a row is never copied itself.  The
+copies are made after the last shuffle: partial results are dealt by key and
+block, a stretch of many windows, and one is sent to each block that has a
+window of it, which is one block for nearly all.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 UNITS = {"ms": 1, "millisecond": 1, "s": 1000, "second": 1000, "m": 60_000, "minute": 60_000, "h": 3_600_000, "hour": 3_600_000, "d": 86_400_000, "day": 86_400_000}
 MILLISECOND = "INTERVAL '0.001' SECOND"
+#: A block of hopping windows is so many sizes long; a slice near its end is sent to two.
+BLOCK_WINDOWS = 16
 
 
 def millis(span: str) -> int:
@@ -27,6 +32,10 @@ def _span(ms: int) -> str:
     return f"{ms} milliseconds"
 
 
+def _interval(ms: int) -> str:
+    return f"INTERVAL '{ms / 1000:.3f}' SECOND"
+
+
 def _zoned(time: Column, zone: str | None) -> Column:
     return time if zone in (None, "UTC") else F.from_utc_timestamp(time, zone)
 
@@ -81,35 +90,52 @@ MERGES = {
 }
 
 
-def _shared(sliced: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, Column]], into_windows) -> DataFrame:
-    """Aggregates by slice, copies the parts into windows, merges them there."""
+def _shared(sliced: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, Column]], into_blocks, into_windows) -> DataFrame:
+    """Aggregates by slice, deals the parts by key and block (`into_blocks` adds `_block`), copies them into windows, merges them there."""
     parts = {n: {k: (f"_{n}_{k}", e) for k, e in MERGES[f][0](x).items()} for n, (f, x) in aggregates.items()}
     columns = [e.alias(c) for own in parts.values() for c, e in own.values()]
     partial = sliced.groupBy(*keys, "_slice").agg(*columns)
     names = [*keys, *(c for own in parts.values() for c, _ in own.values())]
     merged = [MERGES[f][1]({k: F.col(c) for k, (c, _) in parts[n].items()}).alias(n) for n, (f, _) in aggregates.items()]
-    return into_windows(partial, names).groupBy(*keys, "window_start", "window_end").agg(*merged)
+    # a fixed number of partitions: adaptive execution would join them by their size before the copies
+    tasks = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = into_blocks(partial).repartition(tasks, *keys, "_block")
+    return into_windows(dealt, [*names, "_block"]).groupBy(*keys, "_block", "window_start", "window_end").agg(*merged).drop("_block")
 
 
 def hop_agg(df: DataFrame, keys: list[str], time: str, size: str, slide: str, aggregates: dict[str, tuple[str, Column]], offset: str = "0 seconds") -> DataFrame:
     """Aggregates over hopping windows through shared slices.  aggregates: name -> (count, sum, min, max or avg, expression)."""
+    if millis(slide) > millis(size):
+        raise ValueError("the slide is no longer than the size")
     slice_ = gcd(millis(size), millis(slide))
     rows = df.withColumn("_slice", F.window(time, _span(slice_), None, offset)["end"])
+    # the windows of a slice are those of its last millisecond; the latest starts in the slide that has it
+    last = F.window(F.col("_slice") - F.expr(MILLISECOND), slide, None, offset)["start"]
+    back = -(-millis(size) // millis(slide)) - 1
+    starts = F.filter(
+        F.sequence(F.col("_last") - F.expr(_interval(back * millis(slide))), F.col("_last"), F.expr(_interval(millis(slide)))),
+        lambda start: start + F.expr(_interval(millis(size))) >= F.col("_slice"),
+    )
+    # a block starts between round times, where slices of coarse times would all lie on a border
+    span = BLOCK_WINDOWS * millis(size)
+    block = lambda start: F.floor((F.unix_millis(start.cast("timestamp")) + span // 2) / span)
+
+    def into_blocks(partial: DataFrame) -> DataFrame:
+        return partial.withColumn("_last", last).withColumn("_block", F.explode(F.array_distinct(F.transform(starts, block))))
 
-    def into_windows(partial: DataFrame, names: list[str]) -> DataFrame:
-        # the windows of a slice are those of its last millisecond
-        return partial.withColumn("_w", F.window(F.col("_slice") - F.expr(MILLISECOND), size, slide, offset)).select(
-            *names, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end")
-        )
+    def into_windows(dealt: DataFrame, names: list[str]) -> DataFrame:
+        windows = dealt.select(*names, F.explode(starts).alias("window_start")).where(block(F.col("window_start")) == F.col("_block"))
+        return windows.withColumn("window_end", F.col("window_start") + F.expr(_interval(millis(size))))
 
-    return _shared(rows, keys, aggregates, into_windows)
+    return _shared(rows, keys, aggregates, into_blocks, into_windows)
 
 
 def cumulate_agg(df: DataFrame, keys: list[str], time: str, size: str, step: str, aggregates: dict[str, tuple[str, Column]], offset: str = "0 seconds") -> DataFrame:
     """Aggregates over cumulating windows through shared slices."""
     _divides(size, step)
     rows = df.withColumn("_slice", F.window(time, step, None, offset)["end"])
-    return _shared(rows, keys, aggregates, lambda partial, names: _cumulated(partial, names, size, step, offset))
+    whole = F.window(F.col("_slice") - F.expr(MILLISECOND), size, None, offset)["start"]
+    return _shared(rows, keys, aggregates, lambda partial: partial.withColumn("_block", whole), lambda dealt, names: _cumulated(dealt, names, size, step, offset))
 
 
 def window_agg(df: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:

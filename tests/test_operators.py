@@ -173,3 +173,17 @@ def test_pairs_of_frequent_keys_are_spread(spark, how, null_safe):
     equal = left.a.eqNullSafe(right.b) if null_safe else left.a == right.b
     assert rows(joined) == rows(left.join(right, equal, how))
     assert joined.select(F.spark_partition_id()).distinct().count() >= 4
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_hop_copies_are_made_after_the_last_shuffle(spark, keys):
+    """Windows on both sides of a block's border are whole, and no row is copied into windows before a shuffle."""
+    border = windows.BLOCK_WINDOWS * 60_000 // 2  # of blocks of 60 s windows, in milliseconds since the epoch
+    made = [(i % 3, border + 977 * (i - 300), i) for i in range(600)]
+    df = spark.createDataFrame(made, "k long, ms long, v long").select("k", F.timestamp_millis("ms").alias("t"), "v")
+    found = windows.hop_agg(df, keys, "t", "60 seconds", "25 seconds", {"n": ("count", F.lit(1)), "s": ("sum", F.col("v"))})
+    plain = windows.window_agg(windows.hop(df, "t", "60 seconds", "25 seconds"), keys, {"n": F.count(F.lit(1)), "s": F.sum("v")})
+    names = [*keys, "window_start", "window_end", "n", "s"]
+    assert rows(found.select(names)) == rows(plain.select(names))
+    before_last, shuffle, _ = found._jdf.queryExecution().executedPlan().toString().partition("Exchange ")
+    assert shuffle and "Generate explode" in before_last and "Expand" not in before_last
