@@ -63,6 +63,8 @@ class Encoder:
         #: Words are encoded many at a time, joined by something that is one token of its own beside letters.
         self.joint = "\n" if keeps_space else " \x01 "
         self.joint_ids = np.frombuffer(self.direct(self.joint), "<u4")
+        #: Whether an id ends a word; none if the vocabulary does not mark ends, or not every letter's end.
+        self.ends = None if keeps_space else self._word_ends()
         #: How special strings begin.
         self.special = {token.content[:2] for token in self.library.get_added_tokens_decoder().values()}
         self.fine: list[dict[str, bytes | None]] = [{}, {}]
@@ -80,11 +82,40 @@ class Encoder:
             out += [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in made)]
         return out
 
+    def _word_ends(self) -> np.ndarray | None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        if not suffix or any(byte + suffix not in vocabulary for byte in ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return ends
+
+    def _blank_joined(self, words: list[str]) -> list[bytes] | None:
+        """The ids of words joined by blanks, cut at the ids that end a word; none if a word is not one pre-token."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                return None
+            raw, start = ids.tobytes(), 0
+            for end in cuts.tolist():
+                out.append(raw[4 * start : 4 * end])
+                start = end
+        return out
+
     def _words(self, words: list[str], lead: str) -> list[bytes]:
         """The ids of pieces that are all letters, each with `lead` before it."""
         out: list[bytes] = []
         for at in range(0, len(words), BATCH_PIECES):
             some = words[at : at + BATCH_PIECES]
+            if self.ends is not None and (made := self._blank_joined(some)) is not None:
+                out += made
+                continue
             if len(self.joint_ids) == 1:
                 text = "".join(lead + word + self.joint for word in some)
                 ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -107,8 +138,16 @@ class Encoder:
         memo.update((piece, older[piece]) for piece in new if piece in older)
         new = [piece for piece in new if piece not in older]
         words = [piece for piece in new if _LETTERS(piece)]
+        if not fine:  # a word has the same ids at either cut
+            for known in self.fine:
+                memo.update((word, known[word]) for word in words if word in known)
+            words = [word for word in words if word not in memo]
         memo.update(zip(words, self._words(words, self.lead), strict=True))
         opening = [piece for piece in new if piece[:1] == "\n" and _LETTERS(piece, 1)]
+        if not self.lead:
+            for known in (memo, *self.fine):
+                memo.update([(piece, self.line + known[piece[1:]]) for piece in opening if known.get(piece[1:]) is not None])
+            opening = [piece for piece in opening if piece not in memo]
         memo.update(zip(opening, (self.line + ids for ids in self._words([p[1:] for p in opening], "")), strict=True))
         rest: dict[str, str] = {}
         for piece in new:

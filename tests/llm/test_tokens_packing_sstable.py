@@ -129,3 +129,15 @@ def test_rows_of_one_identifier_are_spread_over_groups(spark, monkeypatch):
     rows = P.pack(spark.createDataFrame([(None, None)] * 400, "doc_id long, text string"), length=8).collect()
     assert len(rows) == 400 and {(r.start, r.length, bytes(r.ids)) for r in rows} == {(0, 1, struct.pack("<I", 2))}
     assert len({(r.sequence_id, r.offset) for r in rows}) == 400 and len({r.sequence_id >> 31 for r in rows}) == 8
+
+
+def test_a_word_is_encoded_once_and_as_the_library_does():
+    """A word after a line feed or in a text cut at blanks only is not handed to the library again; odd words keep their ids."""
+    name = "word_bpe_49k.json"
+    made, handed = Encoder(tokenizer_path(name), False), []
+    words = made._words
+    made._words = lambda some, lead: handed.extend(some) or words(some, lead)
+    texts = ["first alpha beta\nalpha gamma", "other .. alpha\nbeta gamma", "odd İx ² Ⅷ straße ﬁn Ǆx naïve 你好 xⅧy"]
+    for text in texts:
+        assert made.encode([text])[0] == plain_ids(name, text)
+    assert len(handed) == len(set(handed)) and {"alpha", "beta"} <= set(handed)
