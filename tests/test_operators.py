@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from brookspan import functions as B
 from brookspan.operators import aggregation, calc, changelog, joins, partitioning, ranking, sets, windows
+from brookspan.plans import queries
 from brookspan.types import schema, spark_type
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,6 +176,31 @@ def test_pairs_of_frequent_keys_are_spread(spark, how, null_safe):
     assert joined.select(F.spark_partition_id()).distinct().count() >= 4
 
 
+@pytest.mark.parametrize("columns", ["b, y", "b, y, z", "b", "s, d, b, y", "s, b"])
+@pytest.mark.parametrize(("how", "null_safe"), [("left", False), ("left", True), ("inner", False), ("inner", True), ("right", False)])
+def test_pairs_of_frequent_keys_come_from_one_array_a_key(spark, columns, how, null_safe):
+    """Nulls among keys and values, keys of one side only, zeros of two signs: the pairs of the plain join."""
+    left = spark.range(0, 60, 1, 1).selectExpr("id AS x", "nullif(id % 4, 0) AS a", "nullif(CAST(id % 2 AS string), '0') AS t", "IF(id % 3 = 0, -0.0D, 1) AS e")
+    right = spark.range(0, 40, 1, 1).selectExpr("nullif(id % 5, 0) AS b", "nullif(id, 7) AS y", "id % 7 AS z", "nullif(CAST(id % 3 AS string), '0') AS s", "IF(id % 2 = 0, -0.0D, 0.0D) AS d")
+    names = columns.split(", ")
+    pairs = [p for p in (("a", "b"), ("t", "s"), ("e", "d")) if p[1] in names]
+    right = right.select(names)
+    if how == "right":
+        left, right, pairs = right, left, [(b, a) for a, b in pairs]
+    found = joins.join(left, right, pairs, how, null_safe=null_safe, many_pairs=True)
+    plain = joins.join(left, right, pairs, how, null_safe=null_safe)
+    assert found.columns == plain.columns and found.dtypes == plain.dtypes
+    assert list(map(repr, rows(found))) == list(map(repr, rows(plain)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "collect_list" in plan.replace("CollectList", "collect_list")
+
+
+@pytest.mark.parametrize("name", ["join_null_keys", "join_null_safe"])
+def test_queries_of_all_pairs_broadcast_one_row_a_key(spark, sf_dir, name):
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and plan.count("BroadcastHashJoin") == 1
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_hop_copies_are_made_after_the_last_shuffle(spark, keys):
     """Windows on both sides of a block's border are whole, and no row is copied into windows before a shuffle."""
