@@ -12,7 +12,8 @@ Texts are tried at the finest cut first (`FINE`), then at blanks and line feeds
 only, and those that allow neither go through the library in one call, as do
 texts in which a special string of the vocabulary may stand: these get what the
 library's default call gives.  A piece that would make a cut unsafe has `None`
-in the memo.
+in the memo.  If that is one that ends in a mark, the text is cut at the full
+stops and commas after letters and digits only; such pieces' ids are in `odd`.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BATCH_PIECES = 4096
 _LETTERS = re.compile(r"[^\W\d_]+\Z").match
 _SPACE = re.compile(r"\s").search
 _PUNCTUATION = ("..", ",,", ".,", ",.")
+#: Puts something before each full stop or comma that follows a letter or digit.
+_AFTER_WORD = re.compile(r"[.,](?<=[^\W_].)").sub
 _ENCODERS: dict = {}
 
 
@@ -69,6 +72,8 @@ class Encoder:
         self.special = {token.content[:2] for token in self.library.get_added_tokens_decoder().values()}
         self.fine: list[dict[str, bytes | None]] = [{}, {}]
         self.coarse: list[dict[str, bytes | None]] = [{}, {}]
+        #: Ids of pieces with marks, in two generations as well.
+        self.odd: list[dict[str, bytes]] = [{}, {}]
 
     def direct(self, text: str) -> bytes:
         """The ids of one text by one call of the library."""
@@ -131,8 +136,6 @@ class Encoder:
 
     def _learn(self, generations: list[dict], pieces: set[str], fine: bool) -> dict:
         """The younger generation, with all the pieces in it."""
-        if len(generations[0]) > (self.kept or MEMO_PIECES):
-            generations[:] = {}, generations[0]
         memo, older = generations
         new = [piece for piece in pieces if piece not in memo]
         memo.update((piece, older[piece]) for piece in new if piece in older)
@@ -161,6 +164,28 @@ class Encoder:
         memo.update(zip(rest, self.each(list(rest.values())), strict=True))
         return memo
 
+    def _marked(self, text: str, memo: dict) -> bytes | None:
+        """The ids after the first piece, no cut being made at a full stop or comma after a mark; none if that cannot be."""
+        if " ." in text or " ," in text:
+            return None
+        pieces = _AFTER_WORD(r" \g<0>", text.replace("\n", " \n")).split(" ")[1:]
+        ids = list(map(memo.get, pieces))
+        if len(self.odd[0]) > (self.kept or MEMO_PIECES) // 4:
+            self.odd[:] = {}, self.odd[0]
+        odd, older = self.odd
+        new = []
+        for piece in {piece for piece, known in zip(pieces, ids, strict=True) if known is None}:
+            body = piece[1:] if piece[:1] == "\n" else piece
+            if not body or _SPACE(body):
+                return None
+            if piece not in odd:
+                if piece in older:
+                    odd[piece] = older[piece]
+                else:
+                    new.append(piece)
+        odd.update(zip(new, self.each([p if p[0] in "\n.," else self.lead + p for p in new]), strict=True))
+        return b"".join([odd[piece] if known is None else known for piece, known in zip(pieces, ids, strict=True)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         out: list[bytes | None] = [b"" if not text else None for text in texts]
@@ -168,6 +193,8 @@ class Encoder:
             if any(opening in text for opening in self.special):
                 out[i] = self.direct(text)
         for generations, fine in ((self.fine, True), (self.coarse, False)):
+            if len(generations[0]) > (self.kept or MEMO_PIECES):
+                generations[:] = {}, generations[0]
             cut, new = [], set()
             for i, text in enumerate(texts):
                 if out[i] is None and not (fine and any(x in text for x in _PUNCTUATION)):
@@ -178,12 +205,14 @@ class Encoder:
                         continue
                     cut.append((i, first, pieces))
                     new.update(pieces)
-            get = self._learn(generations, new, fine).__getitem__
+            memo = self._learn(generations, new, fine)
+            get = memo.__getitem__
             for (i, _, pieces), ids in zip(cut, self.each([first for _, first, _ in cut]), strict=True):
                 try:
                     out[i] = ids + b"".join(map(get, pieces))
-                except TypeError:  # a piece that allows no cut
-                    pass
+                except TypeError:  # a piece that allows no cut here
+                    if fine and (rest := self._marked(texts[i], memo)) is not None:
+                        out[i] = ids + rest
         left = [i for i, ids in enumerate(out) if ids is None]
         for at in range(0, len(left), 16):  # long texts among them: few at a time
             for i, ids in zip(left[at : at + 16], self.each([texts[i] for i in left[at : at + 16]]), strict=True):

@@ -141,3 +141,14 @@ def test_a_word_is_encoded_once_and_as_the_library_does():
     for text in texts:
         assert made.encode([text])[0] == plain_ids(name, text)
     assert len(handed) == len(set(handed)) and {"alpha", "beta"} <= set(handed)
+
+
+@pytest.mark.parametrize(("name", "keeps"), KINDS)
+def test_texts_with_marks_are_cut_as_finely(name, keeps):
+    """Words before and after marks are known pieces, and no text goes to the coarser cut; where marks forbid that, ids are right too."""
+    made = Encoder(tokenizer_path(name), keeps)
+    texts = ["alpha the!!. beta*** gamma, .delta&&&, a_. b", "alpha of%%%\nbeta.*** x!!.y gamma,&&&", "a b!.c\n.d e", "a b! .c d", "a b!  c", "a b!\n\nc", "a é_,ß² it's.'s b$"]
+    assert made.encode(texts) == [plain_ids(name, t) for t in texts]
+    made.coarse[:] = {}, {}
+    assert made.encode(texts[1:2]) == [plain_ids(name, texts[1])]
+    assert not any(made.coarse)
