@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ KINDS = {"inner", "left", "right", "full", "left_semi", "left_anti"}
 LOOKUP_BYTES = 64 << 20
 #: A side up to this size that meets a broadcast table is dealt over the whole cluster first, so many tasks a core.
 SPREAD_BYTES, SPREAD_TASKS = 64 << 20, 4
+#: Most rows in a block of a small side and in one of a broadcast table with repeated keys: a page of a Parquet file, 20,000 rows,
+#: has the first many times, and the pairs of two blocks are held at once.
+BLOCK_ROWS, TABLE_ROWS = 252, 64
 #: Types, with plain strings, of which equal values are the same; a double's zeros are not.
 SAME = (IntegralType, BooleanType, DateType, TimestampType, TimestampNTZType, BinaryType)
 
@@ -25,8 +29,8 @@ def join(
 
     Columns of the two sides have different names.  A key with many rows on both sides gives all their pairs; a small table
     has one file split or few, so where the other side is broadcast its rows are dealt evenly first, whatever their keys.
-    `many_pairs`: keys repeat on both sides, so a broadcast side has its rows gathered into one array a key, which makes a pair
-    cheaper; name the result's columns by strings then.
+    `many_pairs`: keys repeat on both sides, so where one is broadcast, the rows of a key meet in blocks, which makes a pair
+    cheaper, on disk too; name the result's columns by strings then.
     """
     if how not in KINDS:
         raise ValueError(f"unknown join {how!r}")
@@ -36,7 +40,7 @@ def join(
         left, right = (left, right.repartition(tasks)) if flow else (left.repartition(tasks), right)
         if many_pairs and keys and condition is None and how in ("inner", "left", "right"):
             sides = (right, left, [(b, a) for a, b in keys]) if flow else (left, right, keys)
-            return _gathered(*sides, how != "inner", null_safe).select(*map(_quoted, left.columns + right.columns))
+            return _gathered(*sides, how != "inner", null_safe, tasks).select(*map(_quoted, left.columns + right.columns))
     on = reduce(lambda x, y: x & y, [*_equal(left, right, keys, null_safe), *([] if condition is None else [condition])])
     return left.join(right, on, how)
 
@@ -54,26 +58,45 @@ def _flow(left: DataFrame, right: DataFrame, how: str) -> int | None:
     return None if sizes[flow] > SPREAD_BYTES or sizes[1 - flow] > _broadcast_bytes(left.sparkSession) else flow
 
 
-def _gathered(rows: DataFrame, table: DataFrame, keys: list[tuple[str, str]], outer: bool, null_safe: bool) -> DataFrame:
-    """Every row with the table's rows of its key; these are broadcast as one array a key.
+def _gathered(rows: DataFrame, table: DataFrame, keys: list[tuple[str, str]], outer: bool, null_safe: bool, tasks: int) -> DataFrame:
+    """Every row with the table's rows of its key; blocks of rows of a key meet blocks of the broadcast table, as arrays.
 
-    A hash table with repeated keys is walked entry by entry, an array is read in order.  Equal keys of the types in `SAME` are
-    the same value, so the array leaves them out.
+    A hash table with repeated keys is walked entry by entry, an array is read in order.  A block's rows are given again for each
+    row of the other block, so in files the table's values are runs and the rows' values come again within a page; pairs in the
+    order of the rows repeat nothing that near, and take many times the disk.
     """
-    kinds = {f.name: f.dataType for f in table.schema}
-    of_key = {b: f"__key{i}" for i, (_, b) in enumerate(keys)}
-    values = [c for c in table.columns if c not in of_key or not (isinstance(kinds[c], SAME) or kinds[c] == StringType())] or table.columns
+    blocks, own, of_row = _blocks(rows, [a for a, _ in keys], BLOCK_ROWS, "__own")
+    groups, values, of_key = _blocks(table, [b for _, b in keys], TABLE_ROWS, "__key")
+    on = _equal(blocks := blocks.repartition(tasks), groups, [(of_row[a], of_key[b]) for a, b in keys], null_safe)
+    joined = blocks.join(F.broadcast(groups), reduce(lambda x, y: x & y, on), "left" if outer else "inner")
+    # as many partitions as there are, but a border of generated code, which holds all that one row of its input gives
+    joined = joined.coalesce(tasks)
+    kept = [F.col(k).alias(c) for named, inside in ((of_row, own), (of_key, values)) for c, k in named.items() if c not in inside]
+    pairs = joined.select("__own", *kept, _taken_apart("__key", values, outer))
+    return pairs.select(*(_quoted(c) for c in pairs.columns if c != "__own"), _taken_apart("__own", own, False))
+
+
+def _blocks(df: DataFrame, keys: list[str], most: int, name: str) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """Blocks of up to `most` rows of a key as the array `name`; the columns in there, and the names of the keys beside it.
+
+    Equal keys of the types in `SAME` are the same value, so the array leaves them out.
+    """
+    kinds, of_key = {f.name: f.dataType for f in df.schema}, {k: f"{name}{i}" for i, k in enumerate(keys)}
+    values = [c for c in df.columns if c not in of_key or not (isinstance(kinds[c], SAME) or kinds[c] == StringType())] or df.columns
     listed = F.collect_list(F.struct(*map(_quoted, values)))
     if len(values) == 1:
         listed = F.transform(listed, lambda row: row.getField(values[0]))
-    groups = table.groupBy(*(table[b].alias(k) for b, k in of_key.items())).agg(listed.alias("__rows"))
-    on = _equal(rows, groups, [(a, of_key[b]) for a, b in keys], null_safe)
-    joined = rows.join(F.broadcast(groups), reduce(lambda x, y: x & y, on), "left" if outer else "inner")
+    order = dict.fromkeys([*keys, *(c for c in df.columns if not re.search("map<|variant", kinds[c].simpleString()))])
+    numbered = df.sortWithinPartitions(*map(_quoted, order)).withColumn("__block", F.floor(F.monotonically_increasing_id() / most))
+    grouped = numbered.groupBy(*(_quoted(k).alias(n) for k, n in of_key.items()), "__block").agg(listed.alias(name))
+    return grouped.drop("__block"), values, of_key
+
+
+def _taken_apart(name: str, values: list[str], outer: bool) -> Column:
+    """The rows of an array that `_blocks` made."""
     if len(values) == 1:
-        pairs = (F.explode_outer if outer else F.explode)("__rows").alias(values[0])
-    else:
-        pairs = (F.inline_outer if outer else F.inline)("__rows")
-    return joined.select(*map(_quoted, rows.columns), *(F.col(k).alias(b) for b, k in of_key.items() if b not in values), pairs)
+        return (F.explode_outer if outer else F.explode)(name).alias(values[0])
+    return (F.inline_outer if outer else F.inline)(name)
 
 
 def _quoted(name: str) -> Column:

@@ -201,6 +201,22 @@ def test_queries_of_all_pairs_broadcast_one_row_a_key(spark, sf_dir, name):
     assert "Generate explode" in plan and plan.count("BroadcastHashJoin") == 1
 
 
+@pytest.mark.parametrize(("how", "null_safe"), [("left", False), ("inner", True)])
+def test_pairs_of_frequent_keys_take_little_disk(spark, tmp_path, how, null_safe):
+    """Blocks of rows meet blocks: a page of a written result repeats their values, and no task holds all pairs of a row."""
+    left = spark.range(0, 2000, 1, 1).select(F.col("id").alias("x"), F.expr("nullif(id % 3, 0)").alias("a"))
+    right = spark.range(0, 12000, 1, 1).select((F.col("id") * 7919 % 100003).alias("y"), F.expr("nullif(id % 3, 0)").alias("b"))
+    joined = joins.join(left, right, [("a", "b")], how, null_safe=null_safe, many_pairs=True).select("x", "y")
+    joined.write.parquet(str(tmp_path / "pairs"))
+    found = spark.read.parquet(str(tmp_path / "pairs"))
+    equal = left.a.eqNullSafe(right.b) if null_safe else left.a == right.b
+    digest = [F.count(F.lit(1)), F.sum(F.xxhash64("x", "y") % 1000003), F.bit_xor(F.xxhash64("x", "y"))]
+    assert found.agg(*digest).first() == left.join(right, equal, how).agg(*digest).first()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * found.count()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate explode(__own") < plan.index("Coalesce") < plan.index("BroadcastHashJoin")
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_hop_copies_are_made_after_the_last_shuffle(spark, keys):
     """Windows on both sides of a block's border are whole, and no row is copied into windows before a shuffle."""
