@@ -72,7 +72,12 @@ def apportioned(parties: DataFrame, group: list[str], order: list[str], claim: s
     reach = 1
     while True:
         high = F.least(blocks, F.floor(F.col("_share") + reach * F.col("_slack") + 0.5) + 1).cast("long")
-        short = ready.groupBy(*group).agg(F.sum(words(high)).alias("_reach"), F.least(F.max("_wanted"), F.max("_most")).alias("_needed"))
+        # the blocks above the highest quotient left out must be enough, else that one could have been among the winners
+        out = ready.groupBy(*group).agg(F.max(F.when(high < blocks, F.col(claim) / (2 * high + 1).cast("double"))).alias("_out"))
+        above = F.when(F.col("_out") > 0, F.least(high, F.ceil((F.col(claim) / F.col("_out") + 1) / 2 * (1 - 1e-12)) - 1)).otherwise(high)
+        short = ready.join(out, group).groupBy(*group).agg(
+            F.sum(words(F.greatest(above, F.col("_low")))).alias("_reach"), F.least(F.max("_wanted"), F.max("_most")).alias("_needed")
+        )
         if short.where("_reach < _needed").isEmpty():
             break
         reach *= 4

@@ -41,6 +41,14 @@ def test_many_small_parties_beside_a_large_one(spark, large, small, seats):
     assert got == handed(claims, [10**6] * 1001, seats, 1) and got[0] == {700: 83, 500: 125}[seats]
 
 
+@pytest.mark.parametrize("block", [1, 4])
+def test_blocks_handed_on_by_a_cap_go_to_the_highest_quotient(spark, block):
+    """A party's cap leaves blocks over, and a quotient beyond the first range ranked is higher than a small party's second."""
+    claims, caps = [0, 0, 22, 460, 461], [0, 0, 47 * block, 11 * block, 29 * block]
+    got = apportioned(spark, claims, caps, 30 * block, block)
+    assert got == handed(claims, caps, 30 * block, block) == [0, 0, block, 11 * block, 18 * block]
+
+
 def test_groups_are_apportioned_apart(spark):
     rows = [(g, i, 3 + (7 * i + g) % 11, 40, 50 + g) for g in range(5) for i in range(6 + g)]
     df = spark.createDataFrame(rows, "g int, shard long, size long, most long, wanted long")
